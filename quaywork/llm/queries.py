@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ._spark import crc_fold, pick
 from .bpe import bpe_round_trip
+from .language_id import identify, train
+from .ngram_join import ngram_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +23,23 @@ def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned from those whose crc32(doc_id) mod 4 is not 2."""
+    docs = pick(_table(spark, sf_dir, "documents"), "doc_id", "text", "lang").withColumn("held_out", crc_fold("doc_id", 4) == 2)
+    found = identify(docs, train(docs.where("not held_out")), ("doc_id", "held_out"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected", F.col("bits").alias("bits_per_char"))
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of 4-word shingles have a Jaccard likeness of 0.85 or more."""
+    return ngram_join(_table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_bpe_encoding": op4_bpe_encoding,
+        "op8_language_id": op8_language_id,
+        "op10_ngram_join": op10_ngram_join,
     }
 
 
