@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ._spark import crc_fold, pick
 from .bpe import bpe_round_trip
 from .language_id import identify, train
+from .mixing import mix
 from .ngram_join import ngram_join
+from .sharding import shard
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,61 @@ def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: Weights of the sources in code point order, repeating; and of documents by their quality label (none: 1).
+SOURCE_WEIGHTS = [5, 2, 1]
+LABEL_WEIGHTS = {0: 0.5, 1: 2.0}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix of all documents at source weights 5, 2, 1 and 150 % of all words, better documents first."""
+    docs = pick(_table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    labels = _table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
+    quality = F.when(F.col("label") == 0, LABEL_WEIGHTS[0]).when(F.col("label") == 1, LABEL_WEIGHTS[1]).otherwise(1.0)
+    weighted = docs.join(labels, "doc_id", "left").withColumn("quality", quality)
+    return mix(weighted, SOURCE_WEIGHTS, quality="quality").select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+OP5_SQL = """
+with labelled as (
+  select doc_id, max(quality) as label from labels where doc_id is not null group by doc_id
+), d as (
+  select d.doc_id, d.source, cast(coalesce(len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
+    1 - pow((cast(('0x' || substr(md5('17:' || coalesce(cast(d.doc_id as varchar), '')), 1, 12)) as bigint) + 0.5e0) / 281474976710656e0,
+      1 / (case when l.label = 0 then 0.5e0 when l.label = 1 then 2e0 else 1e0 end)) as k
+  from documents d left join labelled l on d.doc_id = l.doc_id
+), s as (
+  select source, cast(sum(size) as double) as source_size,
+    case (row_number() over (order by source is null, source) - 1) % 3 when 0 then 5e0 when 1 then 2e0 else 1e0 end as weight
+  from d group by source
+), f as (
+  select source, source_size, weight, 2e0 * source_size as cap, 2e0 * source_size / weight as full_at from s
+), v as (
+  select *, (1.5e0 * sum(source_size) over () - coalesce(sum(cap) over before, 0e0))
+    / (sum(weight) over () - coalesce(sum(weight) over before, 0e0)) as level
+  from f window before as (order by full_at, source is null, source rows between unbounded preceding and 1 preceding)
+), fixed as (
+  select level from v where level <= full_at order by full_at, level limit 1
+), t as (
+  select source, source_size, least(cap, coalesce((select level from fixed) * weight, cap)) as target from v
+), e as (
+  select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as epochs from t
+), r as (
+  select d.doc_id, d.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size as rest,
+    coalesce(sum(d.size) over (partition by d.source order by d.k, d.size, d.doc_id rows between unbounded preceding and 1 preceding), 0) as at
+  from d join e on d.source is not distinct from e.source
+)
+select doc_id, size, cast(source_size as bigint) as source_size, target,
+  cast(size * (epochs + case when rest > 0 and at + size / 2e0 <= rest then 1 else 0 end) as bigint) as taken,
+  cast(epochs + case when rest > 0 and at + size / 2e0 <= rest then 1 else 0 end as integer) as copies
+from r
+"""
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 contiguous shards of near-equal bytes."""
+    return shard(_table(spark, sf_dir, "documents"), 16)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned from those whose crc32(doc_id) mod 4 is not 2."""
     docs = pick(_table(spark, sf_dir, "documents"), "doc_id", "text", "lang").withColumn("held_out", crc_fold("doc_id", 4) == 2)
@@ -38,10 +95,14 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_bpe_encoding": op4_bpe_encoding,
+        "op5_mixing": op5_mixing,
+        "op7_sharding": op7_sharding,
         "op8_language_id": op8_language_id,
         "op10_ngram_join": op10_ngram_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_mixing": OP5_SQL,
+    }
