@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ._spark import crc_fold, pick
 from .bpe import bpe_round_trip
 from .language_id import identify, train
+from .lm_scoring import score_texts
 from .mixing import mix
 from .ngram_join import ngram_join
 from .sharding import shard
@@ -20,6 +21,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by an interpolated bigram model of those whose crc32(doc_id) mod 5 is not 1."""
+    return score_texts(_table(spark, sf_dir, "documents"), order=2)
+
+
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE encoding and decoding of every document with the 49k word-end vocabulary."""
     return bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -94,6 +100,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": op1_lm_scoring,
         "op4_bpe_encoding": op4_bpe_encoding,
         "op5_mixing": op5_mixing,
         "op7_sharding": op7_sharding,
