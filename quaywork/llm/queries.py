@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ._spark import crc_fold, pick
 from .bpe import bpe_round_trip
+from .fingerprints import compare_with_edits
 from .language_id import identify, train
 from .lm_scoring import score_texts
 from .mixing import mix
@@ -81,6 +82,11 @@ from r
 """
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed-syncmer fingerprints of every document and of its text with half of it replaced."""
+    return compare_with_edits(_table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 contiguous shards of near-equal bytes."""
     return shard(_table(spark, sf_dir, "documents"), 16)
@@ -103,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_lm_scoring": op1_lm_scoring,
         "op4_bpe_encoding": op4_bpe_encoding,
         "op5_mixing": op5_mixing,
+        "op6_fingerprints": op6_fingerprints,
         "op7_sharding": op7_sharding,
         "op8_language_id": op8_language_id,
         "op10_ngram_join": op10_ngram_join,
