@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from ._spark import crc_fold, pick
 from .bpe import bpe_round_trip
+from .chat import chat_digests, format_chats
 from .fingerprints import compare_with_edits
 from .language_id import identify, train
 from .lm_scoring import score_texts
 from .mixing import mix
 from .ngram_join import ngram_join
 from .sharding import shard
+from .token_counts import model_pieces, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,11 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"), order=2)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every document with the 32k pieces and their scores."""
+    return token_counts(_table(spark, sf_dir, "documents"), model_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE encoding and decoding of every document with the 49k word-end vocabulary."""
     return bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -99,6 +106,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected", F.col("bits").alias("bits_per_char"))
 
 
+#: A conversation whose texts hold the template's own marks.
+MARKED_CHAT = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests, read back, of all conversations and one more after formatting with loss masks."""
+    rows = pick(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    more = spark.createDataFrame(MARKED_CHAT, "conv_id long, turn long, role string, text string")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return chat_digests(format_chats(rows.unionByName(more), ranks), ranks)
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of 4-word shingles have a Jaccard likeness of 0.85 or more."""
     return ngram_join(_table(spark, sf_dir, "documents"), width=4, percent=85)
@@ -107,11 +126,13 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
+        "op3_token_counts": op3_token_counts,
         "op4_bpe_encoding": op4_bpe_encoding,
         "op5_mixing": op5_mixing,
         "op6_fingerprints": op6_fingerprints,
         "op7_sharding": op7_sharding,
         "op8_language_id": op8_language_id,
+        "op9_chat_format": op9_chat_format,
         "op10_ngram_join": op10_ngram_join,
     }
 
