@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ._spark import crc_fold, pick
 from .bpe import bpe_round_trip
 from .chat import chat_digests, format_chats
+from .embedding_dedup import near_vectors
 from .fingerprints import compare_with_edits
 from .language_id import identify, train
 from .lm_scoring import score_texts
@@ -29,6 +30,11 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"), order=2)
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of embeddings linked by a cosine of 0.95 or more."""
+    return near_vectors(_table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram token counts of every document with the 32k pieces and their scores."""
     return token_counts(_table(spark, sf_dir, "documents"), model_pieces(public_tokenizers.path("piece_bpe_32k.model")))
@@ -126,6 +132,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
+        "op2_embedding_dedup": op2_embedding_dedup,
         "op3_token_counts": op3_token_counts,
         "op4_bpe_encoding": op4_bpe_encoding,
         "op5_mixing": op5_mixing,
