@@ -85,12 +85,12 @@ with labelled as (
   select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as epochs from t
 ), r as (
   select d.doc_id, d.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size as rest,
-    coalesce(sum(d.size) over (partition by d.source order by d.k, d.size, d.doc_id rows between unbounded preceding and 1 preceding), 0) as at
+    coalesce(sum(d.size) over (partition by d.source order by d.k, d.size, d.doc_id rows between unbounded preceding and 1 preceding), 0) as seat
   from d join e on d.source is not distinct from e.source
 )
 select doc_id, size, cast(source_size as bigint) as source_size, target,
-  cast(size * (epochs + case when rest > 0 and at + size / 2e0 <= rest then 1 else 0 end) as bigint) as taken,
-  cast(epochs + case when rest > 0 and at + size / 2e0 <= rest then 1 else 0 end as integer) as copies
+  cast(size * (epochs + case when rest > 0 and seat + size / 2e0 <= rest then 1 else 0 end) as bigint) as taken,
+  cast(epochs + case when rest > 0 and seat + size / 2e0 <= rest then 1 else 0 end as integer) as copies
 from r
 """
 
