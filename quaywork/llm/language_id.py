@@ -180,11 +180,17 @@ class CharacterModels:
 
 
 def _sampled(labelled: DataFrame) -> DataFrame:
-    """Rows of the sample with ``part``: 0 to fit, 1 to calibrate; chosen by a hash of doc_id."""
-    totals = labelled.groupBy("lang").agg(F.count("*").alias("total"))
-    place = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30) * F.col("total")
-    chosen = labelled.join(totals, "lang").withColumn("place", place).where(F.col("place") < SAMPLE + CALIBRATION)
-    return chosen.select("lang", "text", (F.col("place") >= F.least(F.col("total"), F.lit(SAMPLE + CALIBRATION)) * (SAMPLE / (SAMPLE + CALIBRATION))).cast("int").alias("part"))
+    """Rows of the sample with ``part``: 0 to fit, 1 to calibrate; chosen by a hash of doc_id.
+
+    The languages and their totals are in the plan (the model has a column for each anyway), so no text is shuffled.
+    """
+    totals = labelled.groupBy("lang").agg(F.count("*").alias("total")).collect()
+    if not totals:
+        return labelled.select("lang", "text", F.lit(0).alias("part"))
+    total = F.create_map(*[F.lit(x) for r in totals for x in (r["lang"], float(r["total"]))])[F.col("lang")]
+    place = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30) * total
+    part = (place >= F.least(total, F.lit(float(SAMPLE + CALIBRATION))) * (SAMPLE / (SAMPLE + CALIBRATION))).cast("int")
+    return labelled.where(place < SAMPLE + CALIBRATION).select("lang", "text", part.alias("part"))
 
 
 def train(labelled: DataFrame) -> CharacterModels:

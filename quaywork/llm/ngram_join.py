@@ -7,11 +7,13 @@ one), and lists are scanned with bounds on size and position before sets are com
 stand in the lists as well, for their heavy partners. The boundary is the size at which the expected work is least.
 
 Only connectivity is asked for, so a list isn't expanded into its pairs: members are first compared with the list's
-head, and only members that are then still in different components are compared with one another. No link that could
+head, and only members that are then still in different components are compared with one another, unless sizes,
+positions or parity sketches of the sets show that they can't link. No link that could
 join two components is left out, and the groups found are exact (up to 64-bit hashes).
 
 Style: Arrow and numpy make sets and list entries inside map tasks; lists, pairs and comparison are DataFrame joins,
-which Spark splits where a key is hot. What is broadcast has a fixed size (``SLOTS`` counters, ``BITS`` bits).
+which Spark splits where a key is hot. What is broadcast is bounded (``SLOTS`` counters,
+``MOST_BITS`` bits); both only save work and never change a result.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ from .components import connected_components
 
 #: Counters of the frequency sketch that orders elements from rare to common. A hint: any order gives the same result.
 SLOTS = 1 << 20
-#: Bits of the filter that keeps later passes from making sets which no candidate needs.
-BITS = 1 << 24
+#: Most bits of a filter that keeps rows which nothing can match from being made; fuller filters let more through.
+MOST_BITS = 1 << 27
+#: 64-bit words of a set's parity sketch.
+PARITY = 4
 #: No set above this size counts as light, whatever the cost.
 MOST_LIGHT = 26
 
@@ -93,11 +97,23 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield grams[:0]
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """For each of 64 * ``PARITY`` classes of elements whether the set has an odd number of them.
+
+    Where the sketches of two sets differ, so do the sets: the number of differing bits bounds what they don't share.
+    """
+    odd = np.bincount(((s >> np.uint64(33)) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+SKETCH = [f"s{i}" for i in range(PARITY)]
+
+
 def _sketch(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of documents (doc_id, n, vertex: a hash of the set) and rows of the sketch (slot, count)."""
+    """Rows of documents (doc_id, n, vertex: a hash of the set, parities) and of the frequency sketch (slot, count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "vertex", "slot", "count"]
+        names = ["doc_id", "n", "vertex", "slot", "count", *SKETCH]
         counts = np.zeros(SLOTS, dtype=np.int64)
         for batch in batches:
             for part in slices(batch):
@@ -105,26 +121,46 @@ def _sketch(docs: DataFrame, width: int) -> DataFrame:
                 n, vertex = [*map(len, sets)], [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
                 rows = len(n)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(vertex, dtype=np.uint64).view(np.int64)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(vertex, dtype=np.uint64).view(np.int64)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64()), *[pa.array(c) for c in np.array([parity(s) for s in sets]).reshape(rows, PARITY).T]], names)
         # a slot that stands out nowhere is a rare one
         slot = np.flatnonzero(counts > 2 * counts.mean() + 2)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(slot), pa.int64()), pa.nulls(len(slot), pa.int64()), pa.nulls(len(slot), pa.int64()), pa.array(slot.astype(np.int32)), pa.array(counts[slot])], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(slot), pa.int64()), pa.nulls(len(slot), pa.int64()), pa.nulls(len(slot), pa.int64()), pa.array(slot.astype(np.int32)), pa.array(counts[slot]), *[pa.nulls(len(slot), pa.int64())] * PARITY], names)
+
+    return docs.mapInArrow(run, "doc_id long, n long, vertex long, slot int, count long, " + ", ".join(f"{c} long" for c in SKETCH))
 
-    return docs.mapInArrow(run, "doc_id long, n long, vertex long, slot int, count long")
+
+def _bits(column: str, rows: DataFrame) -> np.ndarray:
+    """A filter of the hashes in ``column``: bit h mod 2^k is set for every hash h; k grows with the rows, up to a bound."""
+    size = 1 << min(max(16, (16 * rows.count()).bit_length()), MOST_BITS.bit_length() - 1)
+    slot = F.col(column).bitwiseAND(F.lit(size - 1))
+    packed = rows.select(slot.alias("s")).groupBy(F.expr("cast(s div 64 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).toPandas()
+    bits = np.zeros(size // 64, dtype=np.int64)
+    bits[packed["w"].to_numpy(dtype=np.int64)] = packed["bits"].to_numpy(dtype=np.int64)
+    return bits.view(np.uint64)
 
 
-def _entries(docs: DataFrame, width: int, percent: int, boundary: int, common: np.ndarray) -> DataFrame:
-    """List entries: key, light, vertex, n, pos (of the element in its set, rare first; the subset's size if light)."""
+def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes & np.uint64(64 * len(bits) - 1)
+    return ((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def _entries(docs: DataFrame, width: int, percent: int, boundary: int, common: np.ndarray, wanted: np.ndarray | None = None) -> DataFrame:
+    """List entries: key and rank, the entry's place in its list; with ``wanted``, a filter of keys, also the rest.
+
+    pos is the element's place in its set, rare elements first, or the subset's size if the set is light. The head of a
+    list, with the lowest rank, has the fewest rarer elements, or is the smallest of light sets.
+    """
     from itertools import combinations
 
     listed = {n: subset_sizes(n, percent) for n in range(1, boundary + 1)}
     scanned = {n: n * 100 // percent > boundary for n in range(1, boundary + 1)}
+    names = ["key", "rank"] if wanted is None else ["key", "rank", "light", "vertex", "n", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for part in slices(batch):
-                keys, lights, vertices, sizes, places = [], [], [], [], []
+                rows: list[list[np.ndarray]] = []
                 for s in shingle_sets(part.column("text"), width):
                     n = len(s)
                     vertex = xxhash.xxh3_64_intdigest(s.tobytes())
@@ -135,49 +171,53 @@ def _entries(docs: DataFrame, width: int, percent: int, boundary: int, common: n
                     new = []
                     if n <= boundary:
                         for c in listed[n]:
-                            rows = np.array(list(combinations(range(n), c)))
-                            new.append((mix(chain([s[rows[:, i]] for i in range(c)]) + np.uint64(c)), True, np.full(len(rows), c)))
+                            of = np.array(list(combinations(range(n), c)))
+                            new.append((mix(chain([s[of[:, i]] for i in range(c)]) + np.uint64(c)), True, np.full(len(of), c)))
                     if n > boundary or scanned[n]:
                         p = prefix(n, percent)
                         rare = np.lexsort((s, common[(s >> np.uint64(44)).astype(np.int64)]))[:p]
                         new.append((s[rare], False, np.arange(p)))
                     for key, light, pos in new:
-                        keys.append(key)
-                        lights.append(np.full(len(key), light))
-                        vertices.append(np.full(len(key), vertex, dtype=np.uint64))
-                        sizes.append(np.full(len(key), n))
-                        places.append(pos)
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(lights)), pa.array(np.concatenate(vertices).view(np.int64)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32))], ["key", "light", "vertex", "n", "pos"])
+                        if wanted is not None:
+                            hit = _passes(wanted, key)
+                            key, pos = key[hit], pos[hit]
+                        order = np.full(len(key), n) if light else pos
+                        rank = (order.astype(np.uint64) << np.uint64(40)) | np.uint64(vertex & ((1 << 40) - 1))
+                        rows.append([key, rank, np.full(len(key), light), np.full(len(key), vertex, dtype=np.uint64), np.full(len(key), n, dtype=np.int32), pos.astype(np.int32)][: len(names)])
+                if rows:
+                    columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names)
 
-    return docs.mapInArrow(run, "key long, light boolean, vertex long, n int, pos int")
+    return docs.mapInArrow(run, "key long, rank long" + ", light boolean, vertex long, n int, pos int" * (wanted is not None))
 
 
 def _sets_of(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     """doc_id, shingles of the documents in ``wanted`` (a column doc_id); a few others may come along."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
-    packed = wanted.select(slot.alias("s")).groupBy((F.col("s") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).toPandas()
-    bits = np.zeros(BITS // 64, dtype=np.int64)
-    bits[packed["w"].to_numpy(dtype=np.int64)] = packed["bits"].to_numpy(dtype=np.int64)
-    bits = bits.view(np.uint64)
+    hashed = F.xxhash64("doc_id").alias("hash")
+    bits = _bits("hash", wanted.select(hashed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = batch.column("slot").to_numpy(zero_copy_only=False).astype(np.uint64)
-            hit = (bits[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63))) & np.uint64(1)
-            for part in slices(batch.filter(pa.array(hit.astype(bool)))):
+            hit = _passes(bits, batch.column("hash").to_numpy(zero_copy_only=False).view(np.uint64))
+            for part in slices(batch.filter(pa.array(hit))):
                 sets = list(shingle_sets(part.column("text"), width))
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 values = pa.array(np.concatenate(sets).view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text", hashed).mapInArrow(run, "doc_id long, shingles array<long>")
 
 
 def _needed(a: str, b: str, percent: int):
     return F.expr(f"({percent}L * ({a} + {b}) + {99 + percent}L) div {100 + percent}L")
 
 
+def _can_link(a: str, b: str, percent: int):
+    """Whether the parities of two sets (columns with these prefixes) leave room for a link."""
+    apart = sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in SKETCH), F.lit(0))
+    return apart <= F.col(f"{a}n") + F.col(f"{b}n") - _needed(f"{a}n", f"{b}n", percent) * 2
+
+
 def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every document, by Jaccard likeness of distinct word n-grams.
 
@@ -191,20 +231,21 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     source = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
     known = source.where("doc_id is not null")
     first = materialise(_sketch(source, width))
-    every = first.where("n is not null").select("doc_id", "n", "vertex")
+    every = first.where("n is not null").select("doc_id", "n", "vertex", *SKETCH)
     sets = every.where("n > 0 and doc_id is not null")
-    reps = materialise(sets.groupBy("vertex").agg(F.min("doc_id").alias("doc_id"), F.first("n").cast("int").alias("n")))
+    reps = materialise(sets.groupBy("vertex").agg(F.min("doc_id").alias("doc_id"), F.first("n").cast("int").alias("n"), *[F.first(c).alias(c) for c in SKETCH]))
     sketch = first.where("slot is not null").groupBy("slot").agg(F.sum("count").alias("count")).toPandas()
     common = np.zeros(SLOTS, dtype=np.int64)
     common[sketch["slot"].to_numpy(dtype=np.int64)] = sketch["count"].to_numpy(dtype=np.int64)
     sizes = {r["n"]: r["count"] for r in reps.where(F.col("n") <= MOST_LIGHT).groupBy("n").count().collect()}
     boundary = light_boundary(sizes, percent)
 
-    entries = materialise(_entries(known, width, percent, boundary, common))
-    order = F.when(F.col("light"), F.col("n")).otherwise(F.col("pos")).cast("long")
-    ranked = entries.withColumn("rank", F.shiftleft(order, 40).bitwiseOR(F.col("vertex").bitwiseAND((1 << 40) - 1)))
-    heads = ranked.groupBy("key", "light").agg(F.min_by("vertex", "rank").alias("head"), F.min_by("n", "rank").alias("head_n"), F.min_by("pos", "rank").alias("head_pos"))
-    members = materialise(entries.join(heads, ["key", "light"]).where("vertex <> head"))
+    # first only where each list begins and ends; then the entries of lists with more than one set
+    lists = _entries(known, width, percent, boundary, common).groupBy("key").agg(F.min("rank").alias("head_rank"), F.max("rank").alias("last_rank"))
+    lists = materialise(lists.where("head_rank < last_rank").select("key", "head_rank"))
+    entries = materialise(_entries(known, width, percent, boundary, common, _bits("key", lists)).join(lists, "key"))
+    heads = entries.where("rank = head_rank").select("key", F.col("vertex").alias("head"), F.col("n").alias("head_n"), F.col("pos").alias("head_pos"))
+    members = materialise(entries.where("rank <> head_rank").drop("rank", "head_rank").join(heads, "key"))
 
     # light sets with a common subset: the smallest of them needs the fewest shared elements
     light = members.where("light").where(_needed("n", "head_n", percent) <= F.col("pos")).select(F.col("vertex").alias("a"), F.col("head").alias("b"))
@@ -212,16 +253,19 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     alike = (F.lit(100) * F.least("n", "head_n") >= F.lit(percent) * F.greatest("n", "head_n")) & (_needed("n", "head_n", percent) <= F.least(F.expr("n - pos"), F.expr("head_n - head_pos")))
     by_head = heavy.where(alike).select(F.col("vertex").alias("a"), F.col("head").alias("b"))
 
-    ids = reps.select("vertex", "doc_id")
+    ids = reps.select("vertex", "doc_id", "n", *SKETCH)
+
+    def side(name: str) -> DataFrame:
+        return ids.select(*[F.col(c).alias(f"{name}_{c}") for c in ids.columns])
 
     def as_ids(pairs: DataFrame) -> DataFrame:
-        left = pairs.distinct().join(ids.select(F.col("vertex").alias("a"), F.col("doc_id").alias("x")), "a")
-        both = left.join(ids.select(F.col("vertex").alias("b"), F.col("doc_id").alias("y")), "b")
-        return materialise(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
+        """Pairs of sets as pairs of documents, without those that the parities rule out."""
+        both = pairs.distinct().join(side("x"), F.col("a") == F.col("x_vertex")).join(side("y"), F.col("b") == F.col("y_vertex")).where(_can_link("x_", "y_", percent))
+        return materialise(both.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).where("a <> b").distinct())
 
     def linked(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        made = materialise(_sets_of(known, width, wanted).join(wanted, "doc_id", "left_semi"))
+        made = _sets_of(known, width, wanted)
         joined = pairs.join(made.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s")), "a").join(made.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t")), "b")
         shared = F.size(F.array_intersect("s", "t"))
         return joined.where(shared * (100 + percent) >= (F.size("s") + F.size("t")) * percent).select("a", "b")
@@ -232,14 +276,17 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     else:
         parts = materialise(connected_components(links))
         # what the heads left apart: members of one list in different components
-        at = ids.join(parts.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("vertex", F.coalesce("component", "doc_id").alias("component"))
+        at = ids.drop("n").join(parts.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("vertex", F.coalesce("component", "doc_id").alias("component"), *SKETCH)
         listed = heavy.select("key", "vertex", "n", "pos").unionByName(heavy.select("key", F.col("head").alias("vertex"), F.col("head_n").alias("n"), F.col("head_pos").alias("pos")).distinct())
-        placed = listed.join(at, "vertex")
+        # the smaller of a pair has the element early: without such a member a list has nothing to compare
+        early = listed.withColumn("early", _needed("n", "n", percent) <= F.expr("n - pos"))
+        useful = early.groupBy("key").agg(F.max("early").alias("some")).where("some").select("key")
+        placed = early.join(useful, "key", "left_semi").drop("early").join(at, "vertex")
         apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         open_lists = materialise(placed.join(apart, "key", "left_semi").distinct())
         p, q = open_lists.alias("p"), open_lists.alias("q")
         fit = (F.lit(100) * F.least("p.n", "q.n") >= F.lit(percent) * F.greatest("p.n", "q.n")) & (_needed("p.n", "q.n", percent) <= F.least(F.expr("p.n - p.pos"), F.expr("q.n - q.pos")))
-        rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.component") < F.col("q.component")) & fit).select(F.col("p.vertex").alias("a"), F.col("q.vertex").alias("b"))
+        rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.component") < F.col("q.component")) & fit & _can_link("p.", "q.", percent)).select(F.col("p.vertex").alias("a"), F.col("q.vertex").alias("b"))
         tried = heavy.where(alike).select(F.col("vertex").alias("a"), F.col("head").alias("b"))
         tried = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
         more = linked(as_ids(rest.distinct().join(tried, ["a", "b"], "left_anti")))

@@ -42,24 +42,38 @@ def inventory_alerts(inventory: DataFrame, locations: DataFrame) -> DataFrame:
     ])
 
 
-def shipment_alerts(assessed: DataFrame, today: date) -> DataFrame:
-    """Delays, costs, missing dates and data issues of assessed shipments."""
+def _of_shipment(when: Column, kind: str, key: Column, severity: Column | str, title: Column, message: Column) -> Column:
+    return _alert(when, kind, key, severity, title, message, "shipment", F.col("shipment_id"), F.col("shipment_id"))
+
+
+def record_alerts(shipments: DataFrame, today: date) -> DataFrame:
+    """Delays, missing dates and data issues; needs no cost assessment."""
     sid, route, carrier = F.col("shipment_id"), F.col("route_label"), F.col("carrier")
     days, eta = F.col("days_late").cast("string"), day_text(F.col("estimated_delivery"))
-    state, cost, base = F.col("delivery_state"), F.col("shipping_cost_cents"), F.col("baseline_cents")
+    state = F.col("delivery_state")
     delayed = _say("shipment_delayed:shipment:", sid)
     recent = (state == "late") & (F.col("actual_delivery") >= F.date_sub(F.lit(today), RECENT_LATE_DAYS))
-    usual = F.when(F.col("cost_method") == "route_carrier", "this route with this carrier").when(F.col("cost_method") == "route", "this route").otherwise("a shipment of this distance")
-    alert = lambda when, kind, key, grade, title, message: _alert(when, kind, key, grade, title, message, "shipment", sid, sid)
-    issues = F.transform("issues", lambda i: _alert(F.lit(True), "invalid_data", _say("invalid_data:shipment:", sid, ":", i["code"]), "warning", _say("Data issue: ", sid), i["message"], "shipment", sid, sid))
+    issues = F.transform("issues", lambda i: _of_shipment(F.lit(True), "invalid_data", _say("invalid_data:shipment:", sid, ":", i["code"]), "warning", _say("Data issue: ", sid), i["message"]))
     fixed = F.array_compact(F.array(
-        alert(state == "overdue", "shipment_delayed", delayed, F.when(F.col("days_late") >= DELAY_CRITICAL_DAYS, "critical").otherwise("warning"), _say("Shipment overdue: ", sid), _say(route, " via ", carrier, " was due ", eta, " and is ", days, " day(s) late.")),
-        alert(recent, "shipment_delayed", delayed, "info", _say("Delivered late: ", sid), _say(route, " via ", carrier, " arrived ", days, " day(s) after the estimated ", eta, ".")),
-        alert(F.col("is_cost_anomaly") & (base > 0), "cost_anomaly", _say("cost_anomaly:shipment:", sid), F.when(cost >= base * COST_CRITICAL_MULTIPLE, "critical").otherwise("warning"), _say("Unusual shipping cost: ", sid), _say(money_text(cost), " is ", F.format_number(cost / base, 1), "× the typical ", money_text(base), " for ", usual, ".")),
-        alert(F.array_contains("missing_dates", "estimated_delivery"), "missing_info", _say("missing_info:shipment:", sid, ":eta"), "warning", _say("Missing estimated delivery: ", sid), _say(route, " (", F.lower(status_label(F.col("status"))), ") has no estimated delivery date, so delays cannot be detected.")),
-        alert(F.array_contains("missing_dates", "actual_delivery"), "missing_info", _say("missing_info:shipment:", sid, ":actual"), "warning", _say("Missing delivery date: ", sid), _say(route, " is marked delivered but has no actual delivery date.")),
+        _of_shipment(state == "overdue", "shipment_delayed", delayed, F.when(F.col("days_late") >= DELAY_CRITICAL_DAYS, "critical").otherwise("warning"), _say("Shipment overdue: ", sid), _say(route, " via ", carrier, " was due ", eta, " and is ", days, " day(s) late.")),
+        _of_shipment(recent, "shipment_delayed", delayed, "info", _say("Delivered late: ", sid), _say(route, " via ", carrier, " arrived ", days, " day(s) after the estimated ", eta, ".")),
+        _of_shipment(F.array_contains("missing_dates", "estimated_delivery"), "missing_info", _say("missing_info:shipment:", sid, ":eta"), "warning", _say("Missing estimated delivery: ", sid), _say(route, " (", F.lower(status_label(F.col("status"))), ") has no estimated delivery date, so delays cannot be detected.")),
+        _of_shipment(F.array_contains("missing_dates", "actual_delivery"), "missing_info", _say("missing_info:shipment:", sid, ":actual"), "warning", _say("Missing delivery date: ", sid), _say(route, " is marked delivered but has no actual delivery date.")),
     ))
-    return assessed.select(F.explode(F.concat(fixed, issues)).alias("a")).select("a.*")
+    return shipments.select(F.explode(F.concat(fixed, issues)).alias("a")).select("a.*")
+
+
+def cost_alerts(assessed: DataFrame) -> DataFrame:
+    sid, cost, base = F.col("shipment_id"), F.col("shipping_cost_cents"), F.col("baseline_cents")
+    usual = F.when(F.col("cost_method") == "route_carrier", "this route with this carrier").when(F.col("cost_method") == "route", "this route").otherwise("a shipment of this distance")
+    grade = F.when(cost >= base * COST_CRITICAL_MULTIPLE, "critical").otherwise("warning")
+    said = _say(money_text(cost), " is ", F.format_number(cost / base, 1), "× the typical ", money_text(base), " for ", usual, ".")
+    flagged = assessed.where("is_cost_anomaly and baseline_cents > 0")
+    return _exploded(flagged, [_of_shipment(F.lit(True), "cost_anomaly", _say("cost_anomaly:shipment:", sid), grade, _say("Unusual shipping cost: ", sid), said)])
+
+
+def shipment_alerts(assessed: DataFrame, today: date) -> DataFrame:
+    return record_alerts(assessed, today).unionByName(cost_alerts(assessed))
 
 
 def capacity_alerts(utilization: DataFrame) -> DataFrame:
@@ -68,8 +82,10 @@ def capacity_alerts(utilization: DataFrame) -> DataFrame:
     return _exploded(utilization, [_alert(F.col("utilization") > 1, "invalid_data", _say("invalid_data:warehouse:", code), "warning", _say("Over capacity: ", name), said, "warehouse", code, name)])
 
 
-def all_alerts(inventory: DataFrame, assessed: DataFrame, utilization: DataFrame, locations: DataFrame, today: date) -> DataFrame:
-    return inventory_alerts(inventory, locations).unionByName(shipment_alerts(assessed, today)).unionByName(capacity_alerts(utilization)).withColumn("kind", attention_kind())
+def all_alerts(inventory: DataFrame, shipments: DataFrame, assessed: DataFrame, utilization: DataFrame, locations: DataFrame, today: date) -> DataFrame:
+    """Every alert, each from the least enriched table that has what it needs."""
+    from_shipments = record_alerts(shipments, today).unionByName(cost_alerts(assessed))
+    return inventory_alerts(inventory, locations).unionByName(from_shipments).unionByName(capacity_alerts(utilization)).withColumn("kind", attention_kind())
 
 
 def in_order(alerts: DataFrame) -> DataFrame:

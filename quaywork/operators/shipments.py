@@ -110,25 +110,22 @@ def _score(x: Column, mid: Column, mad: Column, mean_ad: Column) -> Column:
 def peer_statistics(eligible: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
     """For each group: peers, median, median and mean absolute deviation of ``value``, named ``name``_….
 
-    Rows of equal value are first counted as one, so a group's size in a shuffle is its number of distinct values, and
-    order statistics come from running counts: no group is buffered, and a lane with a third of all rows is a few
-    thousand counted values.
+    Equal values of a group are first counted as one, before any shuffle of rows, so a lane with a third of all rows is
+    a few thousand counted values; both medians are read off running counts over those.
     """
     counted = eligible.groupBy(*by, value.alias("v")).agg(F.count("*").alias("c"))
-
-    def median(of: DataFrame) -> DataFrame:
-        run = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        everyone = Window.partitionBy(*by)
-        ranked = of.withColumn("upto", F.sum("c").over(run)).withColumn("total", F.sum("c").over(everyone))
-        low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
-        hit = lambda at: F.min(F.when(F.col("upto") >= at, F.col("v")))
-        return ranked.groupBy(*by).agg(((hit(low) + hit(high)) / 2.0).alias("mid"), F.sum("c").alias("peers"))
-
-    mid = median(counted)
-    apart = counted.join(mid, by).withColumn("v", F.abs(F.col("v") - F.col("mid")))
-    spread = median(apart.groupBy(*by, "v").agg(F.sum("c").alias("c"))).select(*by, F.col("mid").alias("mad"))
-    mean = apart.groupBy(*by).agg((F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean_ad"))
-    out = mid.join(spread, by).join(mean, by)
+    everyone = Window.partitionBy(*by)
+
+    def with_median(rows: DataFrame, of: str, out: str) -> DataFrame:
+        upto = F.sum("c").over(Window.partitionBy(*by).orderBy(of).rangeBetween(Window.unboundedPreceding, 0))
+        low, high = F.floor((F.col("peers") + 1) / 2), F.floor(F.col("peers") / 2) + 1
+        ranked = rows.withColumn("upto", upto)
+        hit = lambda at: F.min(F.when(F.col("upto") >= at, F.col(of))).over(everyone)
+        return ranked.withColumn(out, (hit(low) + hit(high)) / 2.0)
+
+    ranked = with_median(counted.withColumn("peers", F.sum("c").over(everyone)), "v", "mid")
+    ranked = with_median(ranked.withColumn("apart", F.abs(F.col("v") - F.col("mid"))), "apart", "mad")
+    out = ranked.groupBy(*by).agg(F.first("peers").alias("peers"), F.first("mid").alias("mid"), F.first("mad").alias("mad"), (F.sum(F.col("apart") * F.col("c")) / F.sum("c")).alias("mean_ad"))
     return out.select(*by, *[F.col(c).alias(f"{name}_{c}") for c in ("peers", "mid", "mad", "mean_ad")])
 
 

@@ -57,7 +57,7 @@ def routes(spark, d):
 
 
 def alerts(spark, d):
-    return al.all_alerts(inventory(spark, d), assessed(spark, d), utilization(spark, d), st.locations(spark, d), st.TODAY)
+    return al.all_alerts(inventory(spark, d), shipments(spark, d), assessed(spark, d), utilization(spark, d), st.locations(spark, d), st.TODAY)
 
 
 def scaled(column, by: int = 10**6):
@@ -284,23 +284,23 @@ def alerts_low_stock(spark, d):
 
 @query(f"with {st.SHIPMENTS_SQL}, assessed as (select * from shipments) {DELAY_ALERTS}")
 def alerts_delay(spark, d):
-    return al.shipment_alerts(assessed(spark, d), st.TODAY).where("type = 'shipment_delayed'").selectExpr(*ALERT_COLUMNS)
+    return al.record_alerts(shipments(spark, d), st.TODAY).where("type = 'shipment_delayed'").selectExpr(*ALERT_COLUMNS)
 
 
 @query(f"with {st.COSTS_SQL} {COST_ALERTS}")
 def alerts_cost(spark, d):
-    return al.shipment_alerts(assessed(spark, d), st.TODAY).where("type = 'cost_anomaly'").selectExpr(*ALERT_COLUMNS)
+    return al.cost_alerts(assessed(spark, d)).selectExpr(*ALERT_COLUMNS)
 
 
 @query(f"with {BOTH}, assessed as (select * from shipments) {DATE_ALERTS} union all {USAGE_ALERTS}")
 def alerts_missing(spark, d):
-    both = al.shipment_alerts(assessed(spark, d), st.TODAY).unionByName(al.inventory_alerts(inventory(spark, d), st.locations(spark, d)))
+    both = al.record_alerts(shipments(spark, d), st.TODAY).unionByName(al.inventory_alerts(inventory(spark, d), st.locations(spark, d)))
     return both.where("type = 'missing_info'").selectExpr(*ALERT_COLUMNS)
 
 
 @query(f"with {st.SHIPMENTS_SQL}, assessed as (select * from shipments) {ISSUE_ALERTS}")
 def alerts_invalid(spark, d):
-    return al.shipment_alerts(assessed(spark, d), st.TODAY).where("type = 'invalid_data'").selectExpr(*ALERT_COLUMNS)
+    return al.record_alerts(shipments(spark, d), st.TODAY).where("type = 'invalid_data'").selectExpr(*ALERT_COLUMNS)
 
 
 @query(f"with {st.INVENTORY_SQL}, {UTILIZATION_SQL} {CAPACITY_ALERTS}")
