@@ -37,6 +37,8 @@ SLOTS = 1 << 20
 MOST_BITS = 1 << 27
 #: 64-bit words of a set's parity sketch.
 PARITY = 4
+#: Sets above this size, of which parities tell little, also get a sketch of so many counts.
+COUNTED_ABOVE, COUNTS = 500, 512
 #: No set above this size counts as light, whatever the cost.
 MOST_LIGHT = 26
 
@@ -106,14 +108,26 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def class_counts(s: np.ndarray) -> np.ndarray | None:
+    """How many elements of a large set fall into each of ``COUNTS`` classes; None for others.
+
+    The sum of the differences of two sets' counts is no more than what they don't share; a count stops at its type's
+    limit, which can only lower that sum.
+    """
+    if len(s) <= COUNTED_ABOVE:
+        return None
+    counts = np.bincount(((s >> np.uint64(11)) % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
+    return np.minimum(counts, np.iinfo(np.int16).max).astype(np.int16)
+
+
 SKETCH = [f"s{i}" for i in range(PARITY)]
 
 
 def _sketch(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of documents (doc_id, n, vertex: a hash of the set, parities) and of the frequency sketch (slot, count)."""
+    """Rows of documents (doc_id, n, vertex: a hash of the set, parities, counts) and of the frequency sketch (slot, count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "vertex", "slot", "count", *SKETCH]
+        names = ["doc_id", "n", "vertex", "slot", "count", "counts", *SKETCH]
         counts = np.zeros(SLOTS, dtype=np.int64)
         for batch in batches:
             for part in slices(batch):
@@ -121,12 +135,12 @@ def _sketch(docs: DataFrame, width: int) -> DataFrame:
                 n, vertex = [*map(len, sets)], [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
                 rows = len(n)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(vertex, dtype=np.uint64).view(np.int64)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64()), *[pa.array(c) for c in np.array([parity(s) for s in sets]).reshape(rows, PARITY).T]], names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(vertex, dtype=np.uint64).view(np.int64)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64()), pa.array([class_counts(s) for s in sets], pa.list_(pa.int16())), *[pa.array(c) for c in np.array([parity(s) for s in sets]).reshape(rows, PARITY).T]], names)
         # a slot that stands out nowhere is a rare one
         slot = np.flatnonzero(counts > 2 * counts.mean() + 2)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(slot), pa.int64()), pa.nulls(len(slot), pa.int64()), pa.nulls(len(slot), pa.int64()), pa.array(slot.astype(np.int32)), pa.array(counts[slot]), *[pa.nulls(len(slot), pa.int64())] * PARITY], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(slot), pa.int64()), pa.nulls(len(slot), pa.int64()), pa.nulls(len(slot), pa.int64()), pa.array(slot.astype(np.int32)), pa.array(counts[slot]), pa.nulls(len(slot), pa.list_(pa.int16())), *[pa.nulls(len(slot), pa.int64())] * PARITY], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, vertex long, slot int, count long, " + ", ".join(f"{c} long" for c in SKETCH))
+    return docs.mapInArrow(run, "doc_id long, n long, vertex long, slot int, count long, counts array<short>, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
 def _bits(column: str, rows: DataFrame) -> np.ndarray:
@@ -263,7 +277,14 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         both = pairs.distinct().join(side("x"), F.col("a") == F.col("x_vertex")).join(side("y"), F.col("b") == F.col("y_vertex")).where(_can_link("x_", "y_", percent))
         return materialise(both.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).where("a <> b").distinct())
 
+    counted = first.where("n > 0 and doc_id is not null").select("doc_id", F.col("n").cast("int").alias("n"), "counts")
+    differ = F.expr("aggregate(zip_with(x_counts, y_counts, (s, t) -> abs(int(s) - int(t))), 0, (sum, d) -> sum + d)")
+
     def linked(pairs: DataFrame) -> DataFrame:
+        # the sets themselves are only fetched for pairs that the counts leave room to link
+        both = pairs.join(counted.toDF("a", "x_n", "x_counts"), "a").join(counted.toDF("b", "y_n", "y_counts"), "b")
+        room = differ <= F.col("x_n") + F.col("y_n") - _needed("x_n", "y_n", percent) * 2
+        pairs = materialise(both.where(F.coalesce(room, F.lit(True))).select("a", "b").distinct())
         wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
         made = _sets_of(known, width, wanted)
         joined = pairs.join(made.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s")), "a").join(made.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t")), "b")
