@@ -18,6 +18,8 @@ from ._spark import materialise
 
 #: Bins of each of the two levels.
 BINS = 4096
+#: Sources up to which their targets are broadcast: a row of about 100 bytes each.
+BROADCAST_SOURCES = 10_000
 #: The words of a text.
 WORD = r"[^\x20\x09-\x0D]+"
 NO_SOURCE = "\U0010ffff"
@@ -55,11 +57,12 @@ def source_targets(sizes: DataFrame, weights: list[int], share: float, most: flo
     return levels.select("source", "source_size", F.least("cap", F.coalesce(fixed * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2.0, quality: str | None = None, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2.0, quality: str | None = None, seed: int = 17, size: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of every document; ``taken`` = size * copies.
 
     ``docs`` needs doc_id, text and source, and ``quality``, if named, a column of positive weights (null or less: 1).
-    size: words of the text, 0 where it is null. A source gets floor(target / source_size) complete epochs; of what is
+    size: words of the text, 0 where it is null; or what the column named by ``size`` holds, so that what ``docs`` was
+    joined with doesn't have to move texts. A source gets floor(target / source_size) complete epochs; of what is
     left, documents in key order are taken while at least half of each still fits, so a source's sum is within half a
     document of its target. Equal keys (repeated rows) go in order of size and doc_id. A source without words takes
     nothing; a null source is one of its own. The same rows give the same mix on every run. No rows give no rows.
@@ -67,7 +70,7 @@ def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2
     weight = F.lit(1.0) if quality is None else F.when(F.col(f"`{quality}`") > 0, F.col(f"`{quality}`").cast("double")).otherwise(1.0)
     # 1 - u^(1/w) rises with the exponential key -ln(u)/w and lies in [0, 1)
     key = 1 - F.pow(uniform(F.col("`doc_id`"), seed), 1 / weight)
-    rows = materialise(docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`source`").alias("source"), words_of(F.col("`text`")).alias("size"), key.alias("key")))
+    rows = materialise(docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`source`").alias("source"), (words_of(F.col("`text`")) if size is None else F.coalesce(F.col(f"`{size}`"), F.lit(0)).cast("long")).alias("size"), key.alias("key")))
     rows = rows.withColumn("first_bin", F.floor(F.col("key") * BINS).cast("int")).withColumn("second_bin", F.floor(F.col("key") * BINS * BINS % BINS).cast("int"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, most)
@@ -89,6 +92,9 @@ def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2
     second = last_bin(inside.groupBy("source", "second_bin").agg(F.sum("size").alias("size")), first.select("of", "room"), "second_bin")
     ends = first.select("of", "first_end").join(second.select(F.col("of").alias("of2"), F.col("second_bin").alias("second_end"), F.col("room").alias("last_room")), F.col("of").eqNullSafe(F.col("of2")), "left").drop("of2")
     ends = budget.join(ends, budget["source"].eqNullSafe(ends["of"]), "left").drop("of").withColumnRenamed("source", "of")
+    # a row for each source; beyond the bound Spark chooses, and splits hot sources itself
+    if budget.count() <= BROADCAST_SOURCES:
+        ends = F.broadcast(ends)
 
     placed = rows.join(ends, rows["source"].eqNullSafe(ends["of"])).drop("of")
     place = F.when(F.col("first_end").isNull() | (F.col("first_bin") < F.col("first_end")), -1).when(F.col("first_bin") > F.col("first_end"), 1)

@@ -15,7 +15,7 @@ from .embedding_dedup import near_vectors
 from .fingerprints import compare_with_edits
 from .language_id import identify, train
 from .lm_scoring import score_texts
-from .mixing import mix
+from .mixing import mix, words_of
 from .ngram_join import ngram_join
 from .sharding import shard
 from .token_counts import model_pieces, token_counts
@@ -52,11 +52,11 @@ LABEL_WEIGHTS = {0: 0.5, 1: 2.0}
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents at source weights 5, 2, 1 and 150 % of all words, better documents first."""
-    docs = pick(_table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", words_of(F.col("text")).alias("size"))
     labels = _table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
     quality = F.when(F.col("label") == 0, LABEL_WEIGHTS[0]).when(F.col("label") == 1, LABEL_WEIGHTS[1]).otherwise(1.0)
     weighted = docs.join(labels, "doc_id", "left").withColumn("quality", quality)
-    return mix(weighted, SOURCE_WEIGHTS, quality="quality").select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mix(weighted, SOURCE_WEIGHTS, quality="quality", size="size").select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 OP5_SQL = """
