@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from ._spark import pick
 from ._text import slices, words
@@ -53,6 +54,7 @@ class TrieBpe:
     """Encoder and decoder for a ``tokenizers`` BPE file with word ends and ids in merge order."""
 
     def __init__(self, path: str):
+        self.path, self.splitter = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -161,11 +163,19 @@ class TrieBpe:
         if text.isascii() and text.isalpha():
             return [text.lower()]
         if not text.isascii():
+            if any(unicodedata.category(c) == "Cn" for c in text):
+                return self.split_unassigned(text)
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         parts = self.pattern.findall(text.lower())
         alphabet = self.alphabet
         return [p if p.isascii() and p.isprintable() else "".join(alphabet[b] for b in p.encode()) for p in parts]
 
+    def split_unassigned(self, text: str) -> list[str]:
+        """Of code points that Python's Unicode version doesn't know, libraries of other versions may; the file's own splitter decides."""
+        if self.splitter is None:
+            self.splitter = Tokenizer.from_file(self.path)
+        return [p for p, _ in self.splitter.pre_tokenizer.pre_tokenize_str(self.splitter.normalizer.normalize_str(text))]
+
     def learn(self, distinct: list[str]) -> None:
         """Puts the encodings and decodings of distinct words in the memo."""
         memo = self.memo
