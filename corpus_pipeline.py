@@ -46,7 +46,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("mixing", mixing), ("bpe", bpe)]
 
-#: The first two stages can't be said in SQL; the pipeline is tested against plain Python instead.
+#: The first two stages can't be said in SQL; a test against plain Python is still to be written.
 ORACLE_SQL = None
 
 
