@@ -2,7 +2,8 @@
 
 A k-mer of code points is an anchor if the smallest (by hash) of the s-mers inside it stands at its first or last place.
 That depends on the k-mer alone, not on what is around it, so a passage has the same anchors wherever it is copied to,
-and no stretch of k - s + 1 k-mers is without one. A fingerprint lists a text's anchors in order with the distance to
+and no stretch of k - s + 1 k-mers is without one. A shorter text that has none is one anchor as a whole, so that only
+empty texts have no anchor. A fingerprint lists a text's anchors in order with the distance to
 the one before; two fingerprints are matched by position: anchors of equal hash are paired and the longest chain of
 pairs that runs in the same order in both counts.
 
@@ -56,7 +57,7 @@ def anchors(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def joined_anchors(texts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """``anchors`` of each text. A text shorter than a k-mer has one anchor, all of it; an empty one has none."""
+    """``anchors`` of each text. A text without any has one, all of it; an empty one has none."""
     if not texts:
         return []
     starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
@@ -64,15 +65,12 @@ def joined_anchors(texts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray
     cuts = np.searchsorted(at, starts)
     out = []
     for i, (a, b) in enumerate(pairwise(starts.tolist())):
-        if b - a >= K:
-            stop = np.searchsorted(at, b - K + 1)
-            own = slice(cuts[i], stop)
+        own = slice(cuts[i], max(cuts[i], np.searchsorted(at, b - K + 1)))
+        if own.start < own.stop or a == b:
             out.append((at[own] - a, hashes[own]))
-        elif b > a:
+        else:
             digest = hashlib.sha256(texts[i].astype("<u4").tobytes()).digest()
             out.append((np.zeros(1, dtype=np.int64), np.frombuffer(digest[:4], dtype="<u4").astype(np.uint32)))
-        else:
-            out.append((at[:0], hashes[:0]))
     return out
 
 

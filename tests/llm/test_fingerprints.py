@@ -64,6 +64,19 @@ def test_fingerprint_round_trip_and_likeness():
     assert fp.likeness(hashes, fp.joined_anchors([points(sample(rnd, 3000))])[0][1]) < 0.05
 
 
+def test_texts_without_a_syncmer_are_told_apart():
+    rnd = random.Random(4)
+    texts = [sample(rnd, n) for n in range(fp.K - 1, 2 * fp.K - fp.S + 2) for _ in range(10)]
+    none = [t for t in texts if len(t) >= fp.K and not plain_anchors(t)]
+    assert len(none) > 100 and max(map(len, none)) < 2 * fp.K - fp.S
+    made = fp.joined_anchors([points(t) for t in texts])
+    assert "" not in (prints := [fp.fingerprint(*x) for x in made]) and len({*prints}) == len(texts)
+    assert all(fp.likeness(a, b) < 1 for (_, a), (_, b) in zip(made, made[1:]))
+    assert all(at.tolist() == (plain_anchors(t) or [0]) for t, (at, _) in zip(texts, made))
+    edited = fp.joined_anchors([points(t[: len(t) - len(t) // 2] + "x" * (len(t) // 2)) for t in texts])
+    assert all(fp.likeness(a, b) < 1 for (_, a), (_, b) in zip(made, edited))
+
+
 def brute(rows):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     out = []
