@@ -379,6 +379,12 @@ def search_shipments(spark, d):
     return rows.where("contains(lower(concat_ws(' ', shipment_id, origin, destination, carrier, route_label)), 'carrier 1')").select("shipment_id", "status")
 
 
+@query(f"with {st.COSTS_SQL} select shipment_id, status from assessed where (contains(lower(origin), 'na') or contains(lower(destination), 'na') or contains(lower(shipment_id), 'na') or contains(lower(carrier), 'na') or contains(lower(route_label), 'na')) and (contains(lower(origin), 'carrier') or contains(lower(destination), 'carrier') or contains(lower(shipment_id), 'carrier') or contains(lower(carrier), 'carrier') or contains(lower(route_label), 'carrier'))")
+def search_shipments_all(spark, d):
+    """All that the search finds; ``search_shipments`` narrows it."""
+    return li.filter_shipments(assessed(spark, d), query="na carrier").select("shipment_id", "status")
+
+
 @query(f"with {st.COSTS_SQL} select shipment_id, status, delivery_state from assessed where status in ('pending', 'in_transit') and (is_delayed or lacks_estimate or lacks_actual or is_cost_anomaly or {ISSUE_LIST} <> '')")
 def filter_shipments_flags(spark, d):
     return li.filter_shipments(assessed(spark, d), status="open", flag="any_issue").select("shipment_id", "status", "delivery_state")
@@ -395,6 +401,12 @@ def sort_nulls_last(spark, d):
     return rows.orderBy(F.desc_nulls_last("days_of_supply"), li.natural_key(F.col("item_id"))).select("item_id", "days_of_supply").limit(50)
 
 
+@query(f"with {st.INVENTORY_SQL} select item_id, days_of_supply from inventory order by days_of_supply desc nulls last, cast(regexp_extract(sku, '([0-9]+)', 1) as integer), warehouse")
+def sort_nulls_last_all(spark, d):
+    """The whole sort, down to the nulls; ``sort_nulls_last`` has its first 50 rows."""
+    return inventory(spark, d).orderBy(F.desc_nulls_last("days_of_supply"), li.natural_key(F.col("item_id"))).select("item_id", "days_of_supply")
+
+
 @query(f"with {st.INVENTORY_SQL} select item_id, value_cents from (select item_id, cast(value_cents as bigint) as value_cents, sku, warehouse from inventory) order by value_cents desc, item_id limit 25 offset 25")
 def page_2(spark, d):
     rows = li.sorted_by(inventory(spark, d), "value_cents", descending=True, then="item_id")
@@ -406,6 +418,12 @@ def attention_first(spark, d):
     return inventory(spark, d).withColumn("attention", li.attention_rank()).orderBy(F.desc("attention"), F.desc("value_cents"), "item_id").select("item_id", "attention", "value_cents").limit(100)
 
 
+@query(f"""with {st.INVENTORY_SQL} select item_id, case when stock_status = 'out_of_stock' then 3 when stock_status = 'low_stock' then 2 when stockout_risk = 'high' then 1 else 0 end as attention, cast(value_cents as bigint) as value_cents from inventory order by attention desc, value_cents desc, item_id""")
+def attention_first_all(spark, d):
+    """The whole sort, of all ranks; ``attention_first`` has its first 100 rows."""
+    return inventory(spark, d).withColumn("attention", li.attention_rank()).orderBy(F.desc("attention"), F.desc("value_cents"), "item_id").select("item_id", "attention", "value_cents")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
