@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from quaywork.llm._spark import materialise
 from quaywork.llm.bpe import bpe_encode
 from quaywork.llm.language_id import identify, train
-from quaywork.llm.mixing import mixed_documents
+from quaywork.llm.mixing import mix, repeated, words_of
 from quaywork.llm.ngram_join import one_of_each
+from quaywork.llm.queries import LABEL_WEIGHTS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Word n-grams and percent of likeness of near copies.
@@ -34,8 +35,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that sources stand at their weights."""
-    return mixed_documents(docs.select(COLUMNS), SOURCE_WEIGHTS, SHARE)
+    """Repeats or leaves out documents so that sources stand at their weights, those of better quality labels first."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
+    quality = F.when(F.col("label") == 0, LABEL_WEIGHTS[0]).when(F.col("label") == 1, LABEL_WEIGHTS[1]).otherwise(1.0)
+    sized = docs.select("doc_id", "source", words_of(F.col("text")).alias("size"))  # so that the join moves no texts
+    weighted = sized.join(labels, "doc_id", "left").withColumn("quality", quality)
+    return repeated(docs.select(COLUMNS), mix(weighted, SOURCE_WEIGHTS, SHARE, quality="quality", size="size"))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

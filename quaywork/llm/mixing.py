@@ -110,8 +110,12 @@ def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2
 
 def mixed_documents(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2.0, quality: str | None = None, seed: int = 17) -> DataFrame:
     """The rows of ``docs``, each as often as ``mix`` takes it. Rows that share a doc_id and size share their copies."""
-    plan = mix(docs, weights, share, most, quality, seed).where("copies > 0")
-    repeats = plan.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).toDF(*[f"__mix_{c}" for c in ("id", "source", "size", "copies")])
+    return repeated(docs, mix(docs, weights, share, most, quality, seed))
+
+
+def repeated(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """The rows of ``docs``, each as often as ``plan``, what ``mix`` gave for them, takes it."""
+    repeats = plan.where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).toDF(*[f"__mix_{c}" for c in ("id", "source", "size", "copies")])
     sized = docs.withColumn("__mix_words", words_of(F.col("`text`")))
     same = F.col("doc_id").eqNullSafe(F.col("__mix_id")) & F.col("source").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_words") == F.col("__mix_size"))
     joined = sized.join(repeats, same)

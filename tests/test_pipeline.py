@@ -1,0 +1,39 @@
+import hashlib
+import random
+from collections import Counter, defaultdict
+from fractions import Fraction
+
+import corpus_pipeline as cp
+from quaywork.llm.queries import LABEL_WEIGHTS
+from tests.llm.test_mixing_sharding import plain_targets
+
+
+def plain_mix(rows, labels):
+    """Copies of each document: whole epochs, then by exponential keys scaled with the label's weight."""
+    by_source, out = defaultdict(list), {}
+    for doc_id, text, _, source, _ in rows:
+        u = (int(hashlib.md5(f"17:{doc_id}".encode()).hexdigest()[:12], 16) + 0.5) / (1 << 48)
+        weight = LABEL_WEIGHTS[max(labels[doc_id])] if labels.get(doc_id) else 1.0
+        by_source[source].append((1 - u ** (1 / weight), len(text.split()), doc_id))
+    targets = plain_targets({s: sum(x[1] for x in own) for s, own in by_source.items()}, cp.SOURCE_WEIGHTS, Fraction(cp.SHARE), 2)
+    for s, own in by_source.items():
+        whole = sum(x[1] for x in own)
+        epochs, rest, seat = targets[s] // whole, targets[s] % whole, 0
+        for _, size, doc_id in sorted(own):
+            out[doc_id] = int(epochs + (rest > 0 and seat + Fraction(size, 2) <= rest))
+            seat += size
+    return out
+
+
+def test_mixing_takes_better_labelled_documents_first(spark, tmp_path):
+    rnd = random.Random(1)
+    rows = [(i, " ".join(["w"] * rnd.randrange(1, 40)), "xx", rnd.choice("abbc"), 0) for i in range(900)]
+    labels = {i: [rnd.randrange(2) for _ in range(rnd.choice([1, 1, 2]))] for i in range(0, 800)}
+    spark.createDataFrame([(i, q, 0) for i, own in labels.items() for q in own] + [(None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    mixed = cp.mixing(spark, docs, str(tmp_path))
+    assert mixed.columns == cp.COLUMNS
+    got, want = Counter(map(tuple, mixed.collect())), plain_mix(rows, labels)
+    assert got == Counter({r: want[r[0]] for r in rows if want[r[0]]})
+    mean = {q: sum(want[i] for i, own in labels.items() if max(own) == q) / sum(max(own) == q for own in labels.values()) for q in (0, 1)}
+    assert mean[1] > mean[0] + 0.1
