@@ -5,13 +5,15 @@ where turns begin and end. In print a reserved id is a control string; where a t
 its first character (one more where some stand there already), which no other text turns into and which is undone on
 reading. The mask covers the texts of assistant turns and nothing else.
 
-Style: encoding is a map over Arrow batches of turns; Spark gathers a conversation's encoded turns; assembly is a map
-over conversations. A conversation is one row of the result, so it has to fit in memory; nothing else does.
+Style: encoding is a map over Arrow batches of turns; Spark brings a conversation's encoded turns together and sorts them
+on disk; assembly is a map over the sorted turns. A conversation is written in numbered segments of whole turns and
+bounded size and read back segment by segment, so only a turn, which is a row of the input, has to fit in memory.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,6 +25,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._text import slices
+
 #: How the byte-level vocabulary splits text before its merges (a fixed value of that vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -33,6 +37,11 @@ SYSTEM, USER, ASSISTANT, OTHER, ROLE_END, TURN_END = range(FIRST_RESERVED, FIRST
 ROLES = {"system": SYSTEM, "user": USER, "assistant": ASSISTANT}
 TRAINED = "assistant"
 
+#: Ids of a segment of a conversation, at most; a turn of more is a segment of its own.
+SEGMENT_IDS = 1 << 14
+#: Ids of the segments that are handed on at once, about.
+BATCH_IDS = 1 << 20
+
 _CONTROL = r"(?:#{slashes}(?=## (?:System|User|Assistant|Other):)|<{slashes}(?=/(?:role|turn)>))"
 _TO_ESCAPE = re.compile(_CONTROL.replace("{slashes}", r"\\*"))
 _ESCAPED = re.compile(_CONTROL.replace("{slashes}", r"\\+"))
@@ -72,38 +81,68 @@ def _turns(rows: DataFrame, name: str) -> DataFrame:
     return rows.mapInArrow(run, "conv_id long, turn long, role string, ids array<int>, inside array<int>")
 
 
-def format_chats(rows: DataFrame, path: str) -> DataFrame:
-    """conv_id, input_ids, loss_mask, formatted of every conversation of ``rows`` (conv_id, turn, role, text).
+def format_chats(rows: DataFrame, path: str, segment_ids: int = SEGMENT_IDS) -> DataFrame:
+    """conv_id, segment, input_ids, loss_mask, formatted of every conversation of ``rows`` (conv_id, turn, role, text).
 
     ``path``: a tiktoken rank file of 50,256 byte-level tokens, sent to the executors. Turns stand in order of turn
     (null first, ties by role, then text ids); repeated rows are turns of their own; a null text is empty, a null role is
     an empty one; roles other than system, user and assistant are written out after the mark for others. loss_mask has
     1 for the ids of assistant texts. formatted is the print of input_ids. A null conv_id is one conversation. Other
     columns are ignored; no rows give no rows.
+
+    A conversation of more than ``segment_ids`` ids has several rows, segments from 0 on, which joined in order are the
+    whole of it; a segment has whole turns, and more ids than that only if it is one turn. The segments of a conversation
+    come one after another in one partition.
     """
     rows.sparkSession.sparkContext.addFile(path)
     name = path.rsplit("/", 1)[-1]
     plain = rows.select(F.col("`conv_id`").cast("long").alias("conv_id"), F.col("`turn`").cast("long").alias("turn"), F.col("`role`").cast("string").alias("role"), F.col("`text`").cast("string").alias("text"))
-    turns = _turns(plain, name).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "ids", "inside"))).alias("turns"))
+    turns = _turns(plain, name).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids", "inside")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoding(SparkFiles.get(name))
-        for batch in batches:
-            every, masks, printed = [], [], []
-            for turns in batch.column("turns").to_pylist():
-                ids = np.concatenate([np.array(t["ids"], dtype=np.int32) for t in turns])
-                starts = np.concatenate([[0], np.cumsum([len(t["ids"]) for t in turns])])
-                change = np.zeros(len(ids) + 1, dtype=np.int64)
-                for start, t in zip(starts.tolist(), turns, strict=False):
-                    if t["role"] == TRAINED:
-                        change[start + t["inside"][0]] += 1
-                        change[start + sum(t["inside"])] -= 1
-                every.append(ids)
-                masks.append(np.cumsum(change[:-1]).astype(np.int8))
-                printed.append("".join(_print(coder, part) for part in _parts(ids)))
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(every, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int8())), pa.array(printed, pa.string())], ["conv_id", "input_ids", "loss_mask", "formatted"])
-
-    return turns.mapInArrow(run, "conv_id long, input_ids array<int>, loss_mask array<tinyint>, formatted string")
+        made: list[tuple] = []
+        held = 0
+        for conv, number, own in _segments(batches, segment_ids):
+            ids = np.concatenate([t for _, t, _ in own])
+            starts = np.concatenate([[0], np.cumsum([len(t) for _, t, _ in own])])
+            change = np.zeros(len(ids) + 1, dtype=np.int64)
+            for start, (role, _, inside) in zip(starts.tolist(), own, strict=False):
+                if role == TRAINED:
+                    change[start + inside[0]] += 1
+                    change[start + sum(inside)] -= 1
+            made.append((conv, number, ids, np.cumsum(change[:-1]).astype(np.int8), "".join(_print(coder, part) for part in _parts(ids))))
+            held += len(ids)
+            if held >= BATCH_IDS:
+                yield _segment_batch(made)
+                made, held = [], 0
+        if made:
+            yield _segment_batch(made)
+
+    return turns.mapInArrow(run, "conv_id long, segment long, input_ids array<int>, loss_mask array<tinyint>, formatted string")
+
+
+def _segments(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int | None, int, list[tuple]]]:
+    """conv_id, number and turns (role, ids, inside) of each segment of at most ``most`` ids, from turns in order."""
+    conv, number, own, held = None, 0, [], 0
+    for batch in batches:
+        every, cuts = batch.column("ids").values.to_numpy(), batch.column("ids").offsets.to_pylist()
+        for i, (of, role, inside) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("conv_id", "role", "inside")], strict=True)):
+            ids = every[cuts[i] : cuts[i + 1]]
+            if own and (of != conv or held + len(ids) > most):
+                yield conv, number, own
+                number, own, held = number + 1, [], 0
+            if of != conv:
+                conv, number = of, 0
+            own.append((role, ids, inside))
+            held += len(ids)
+    if own:
+        yield conv, number, own
+
+
+def _segment_batch(made: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int8()), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*made), kinds, strict=True)], ["conv_id", "segment", "input_ids", "loss_mask", "formatted"])
 
 
 def _parts(ids: np.ndarray) -> Iterator[np.ndarray]:
@@ -119,7 +158,7 @@ def _print(coder: tiktoken.Encoding, ids: np.ndarray) -> str:
 
 
 def read_turns(ids: np.ndarray, mask: np.ndarray, path: str) -> tuple[list[tuple[str, str]], list[str]]:
-    """(role, text) of each turn, and the texts under the mask, from a formatted conversation's ids."""
+    """(role, text) of each turn, and the texts under the mask, from a formatted segment's ids."""
     coder = _encoding(path)
     names = {i: r for r, i in ROLES.items()}
     turns, learned, start, role = [], [], 0, ""
@@ -136,21 +175,42 @@ def read_turns(ids: np.ndarray, mask: np.ndarray, path: str) -> tuple[list[tuple
     return turns, learned
 
 
+DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+
+
 def chat_digests(formatted: DataFrame, path: str) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from ``format_chats``."""
-    import hashlib
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from ``format_chats``.
 
+    The segments of a conversation have to stand in order in one partition, as ``format_chats`` gives them; anything else
+    is refused. Rows that were stored get there by repartition("conv_id") and sortWithinPartitions("conv_id", "segment").
+    """
     formatted.sparkSession.sparkContext.addFile(path)
     name = path.rsplit("/", 1)[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, said, loss = None, 0, hashlib.sha256(), hashlib.sha256()
+
+        def ended() -> dict:
+            return now | {"turns_sha256": said.hexdigest(), "loss_sha256": loss.hexdigest()}
+
         for batch in batches:
             out = []
-            for conv, ids, mask, text in zip(*[batch.column(c).to_pylist() for c in ("conv_id", "input_ids", "loss_mask", "formatted")], strict=True):
-                ids, mask = np.array(ids, dtype=np.int32), np.array(mask, dtype=np.int8)
-                turns, learned = read_turns(ids, mask, SparkFiles.get(name))
-                said, loss = "".join(f"{r}\n{t}\n" for r, t in turns), "".join(learned)
-                out.append({"conv_id": conv, "n_turns": len(turns), "turns_sha256": hashlib.sha256(said.encode()).hexdigest(), "loss_chars": len(loss), "loss_sha256": hashlib.sha256(loss.encode()).hexdigest(), "formatted_chars": len(text)})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]))
+            for rows in slices(batch, "formatted"):
+                for conv, number, ids, mask, text in zip(*[rows.column(c).to_pylist() for c in ("conv_id", "segment", "input_ids", "loss_mask", "formatted")], strict=True):
+                    if number == 0:
+                        out += [] if now is None else [ended()]
+                        now, said, loss = {"conv_id": conv, "n_turns": 0, "loss_chars": 0, "formatted_chars": 0}, hashlib.sha256(), hashlib.sha256()
+                    elif now is None or (conv, number) != (now["conv_id"], last + 1):
+                        raise ValueError(f"segment {number} of conversation {conv} doesn't follow the one before it")
+                    last = number
+                    turns, learned = read_turns(np.array(ids, dtype=np.int32), np.array(mask, dtype=np.int8), SparkFiles.get(name))
+                    said.update("".join(f"{r}\n{t}\n" for r, t in turns).encode())
+                    loss.update("".join(learned).encode())
+                    now["n_turns"] += len(turns)
+                    now["loss_chars"] += sum(map(len, learned))
+                    now["formatted_chars"] += len(text)
+            yield pa.RecordBatch.from_pylist(out, schema=DIGESTS)
+        if now is not None:
+            yield pa.RecordBatch.from_pylist([ended()], schema=DIGESTS)
 
     return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

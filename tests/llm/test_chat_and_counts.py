@@ -46,6 +46,38 @@ def test_formatted_conversations_read_back(spark):
     assert chat.format_chats(empty, RANKS).collect() == []
 
 
+def test_a_large_conversation_is_written_in_bounded_segments(spark):
+    rnd = random.Random(5)
+    rows = [(None, t, rnd.choice(["user", "assistant", "tool"]), f"{t} " + rnd.choice(ODD[3:])) for t in range(6000)]
+    rows += [(c, t, "assistant", f"{c} {t} é") for c in (-3, 1, 2) for t in range(30)] + [(5, 0, "user", "0 1 " * 20_000), (5, 1, "assistant", "end")]
+    rnd.shuffle(rows)
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    want = {}
+    for conv, _, role, text in sorted(rows, key=lambda r: r[1]):
+        want.setdefault(conv, []).append((role, text))
+    for most in (40, chat.SEGMENT_IDS):
+        made = chat.format_chats(docs, RANKS, most)
+        parts = sorted(made.collect(), key=lambda r: (str(r.conv_id), r.segment))
+        assert sum(r.conv_id is None for r in parts) > 1
+        read, learned = {}, {}
+        for r in parts:
+            turns, under = chat.read_turns(np.array(r.input_ids), np.array(r.loss_mask), RANKS)
+            assert len(r.input_ids) == len(r.loss_mask) and (len(r.input_ids) <= most or len(turns) == 1)
+            read.setdefault(r.conv_id, []).extend(turns)
+            learned.setdefault(r.conv_id, []).extend(under)
+        assert read == want
+        got = {r.conv_id: r for r in chat.chat_digests(made, RANKS).collect()}
+        assert got.keys() == want.keys()
+        for conv, turns in want.items():
+            loss = "".join(t for role, t in turns if role == "assistant")
+            assert "".join(learned[conv]) == loss
+            assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+            assert (got[conv].n_turns, got[conv].loss_chars, got[conv].loss_sha256) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+            assert got[conv].formatted_chars == sum(len(r.formatted) for r in parts if r.conv_id == conv)
+    with pytest.raises(Exception, match="doesn't follow"):
+        chat.chat_digests(made.where("segment <> 1"), RANKS).collect()
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return model_pieces(public_tokenizers.path("piece_bpe_32k.model"))
