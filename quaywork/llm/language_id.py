@@ -33,6 +33,10 @@ SAMPLE, CALIBRATION = 1500, 300
 TOLERANCE = 6.0
 UNKNOWN = "und"
 SPACE = 32
+#: Log-probabilities are whole multiples of 1 / UNIT bits, so their sums don't depend on the order of adding.
+UNIT = 1 << 20
+#: Characters that are looked up at once, and bytes of the texts that are handled together (a longer text: alone).
+BLOCK, SLICE = 1 << 17, 1 << 19
 MASKS = [np.uint64((1 << 16 * k) - 1) for k in range(ORDER + 1)]
 
 
@@ -51,35 +55,40 @@ _TABLE: list[np.ndarray] = []
 
 
 def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all texts after one another, each with a space before and after it, and where each text begins."""
+    """Codes of all texts after one another, with one space before each and after the last, and where those spaces stand.
+
+    Whatever isn't a letter at the ends of a text is part of those spaces, so a text has the same codes beside any other.
+    """
     if not _TABLE:
         _TABLE.append(_letters())
     filled = pc.fill_null(texts.cast(pa.string()), "")
-    raw = np.frombuffer(" ".join([" ", *filled.to_pylist(), ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4")[1:]
+    raw = np.frombuffer(" ".join(["", *filled.to_pylist(), ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
     codes = _TABLE[0][raw]
-    keep = np.ones(len(codes), dtype=bool)
-    keep[1:] = (codes[1:] != SPACE) | (codes[:-1] != SPACE)
-    sizes = pc.utf8_length(filled).to_numpy(zero_copy_only=False).astype(np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)])
-    kept = np.concatenate([[0], np.cumsum(keep)])
-    return codes[keep].astype(np.uint64), kept[starts]
-
-
-def packed(codes: np.ndarray) -> np.ndarray:
-    """The last ``ORDER`` characters up to each place in one 64-bit code; before the first stands a space."""
-    out = codes.copy()
+    edge = np.zeros(len(codes), dtype=bool)
+    edge[np.concatenate([[0], np.cumsum(pc.utf8_length(filled).to_numpy(zero_copy_only=False).astype(np.int64) + 1)])] = True
+    keep = (codes != SPACE) | edge
+    keep[1:] |= codes[:-1] != SPACE  # the first of a run
+    codes, edge = codes[keep], edge[keep]
+    keep = (codes != SPACE) | edge
+    keep[:-1] |= ~edge[1:]
+    return codes[keep], np.flatnonzero(edge[keep])
+
+
+def packed(codes: np.ndarray, starts: np.ndarray, a: int, b: int) -> np.ndarray:
+    """The last ``ORDER`` characters up to each place from ``a`` >= 1 to ``b`` in 64 bits; before a text stand spaces."""
+    at = np.arange(a, b)
+    place = at - starts[np.searchsorted(starts, at) - 1]
+    out = codes[a:b].astype(np.uint64)
     for k in range(1, ORDER):
-        out[k:] |= codes[:-k] << np.uint64(16 * k)
-    for place in range(min(ORDER - 1, len(codes))):
-        for k in range(place + 1, ORDER):
-            out[place] |= np.uint64(SPACE) << np.uint64(16 * k)
+        before = np.where(place >= k, codes[np.maximum(at - k, 0)], SPACE).astype(np.uint64)
+        out |= before << np.uint64(16 * k)
     return out
 
 
 @dataclass
 class CharacterModels:
-    """``grams[k]``: sorted codes of order k + 1, ``logs[k]`` their log2 probabilities by language; ``contexts[k]``:
-    sorted codes of k characters, ``backoffs[k]`` log2 of the weight that the order below has after them."""
+    """``grams[k]``: sorted codes of order k + 1, ``logs[k]`` their log2 probabilities by language, times ``UNIT``;
+    ``contexts[k]``: sorted codes of k characters, ``backoffs[k]`` log2 of the weight of the order below after them."""
 
     langs: list[str]
     grams: list[np.ndarray] = field(default_factory=list)
@@ -104,12 +113,12 @@ class CharacterModels:
                 codes, n = np.unique(codes & MASKS[k], return_counts=True)
                 every[i][k - 1] = (codes, n.astype(np.float64))
         alphabet = max(1, len(np.unique(np.concatenate([e[0][0] for e in every])))) if langs else 1
-        model = cls(langs, floor=np.full(len(langs), -np.log2(alphabet + 1.0)))
+        model = cls(langs, floor=np.full(len(langs), round(-np.log2(alphabet + 1.0) * UNIT), dtype=np.int32))
         for k in range(ORDER):
             grams = np.unique(np.concatenate([e[k][0] for e in every])) if langs else np.zeros(0, np.uint64)
             contexts = np.unique(grams >> np.uint64(16)) if k else np.zeros(1, np.uint64)
             logs, backs = np.zeros((len(grams), len(langs))), np.zeros((len(contexts), len(langs)))
-            below = model.lookup(grams & MASKS[k], k - 1)
+            below = model.lookup(grams & MASKS[k], k - 1) / UNIT
             for i in range(len(langs)):
                 codes, n = every[i][k]
                 once, twice = (n == 1).sum(), (n == 2).sum()
@@ -123,14 +132,14 @@ class CharacterModels:
                 logs[:, i] = np.log2(own / np.maximum(total[of], 1) + weight[of] * np.exp2(below[:, i]))
                 backs[:, i] = np.log2(weight)
             model.grams.append(grams)
-            model.logs.append(logs.astype(np.float32))
+            model.logs.append(np.rint(logs * UNIT).astype(np.int32))
             model.contexts.append(contexts)
-            model.backoffs.append(backs.astype(np.float32))
+            model.backoffs.append(np.rint(backs * UNIT).astype(np.int32))
         return model
 
     def lookup(self, codes: np.ndarray, top: int) -> np.ndarray:
-        """log2 probability by language of the last character of each code, from order ``top`` + 1 downwards."""
-        out = np.zeros((len(codes), len(self.langs)), dtype=np.float32)
+        """log2 probability, times ``UNIT``, by language of each code's last character, from order ``top`` + 1 downwards."""
+        out = np.zeros((len(codes), len(self.langs)), dtype=np.int32)
         left = np.arange(len(codes))
         for k in range(top, -1, -1):
             if not len(left) or not len(self.grams[k]):
@@ -145,24 +154,24 @@ class CharacterModels:
                 at = np.minimum(np.searchsorted(self.contexts[k], context), len(self.contexts[k]) - 1)
                 seen = self.contexts[k][at] == context
                 out[left[seen]] += self.backoffs[k][at[seen]]
-        out[left] += self.floor.astype(np.float32)
+        out[left] += self.floor
         return out
 
     def entropy(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bits per character of each text by language, and its number of letters."""
         codes, starts = characters(texts)
         rows = len(starts) - 1
-        bits, letters = np.zeros((rows, len(self.langs))), np.zeros(rows, dtype=np.int64)
-        if not len(codes) or not rows:
-            return bits, letters
-        sums = np.zeros((len(codes) + 1, len(self.langs)))
-        np.cumsum(self.lookup(packed(codes), ORDER - 1), axis=0, dtype=np.float64, out=sums[1:])
-        # a text's characters are those after its leading space, up to the next text's
-        a, b = starts[:-1], starts[1:]
-        counted = np.concatenate([[0], np.cumsum(codes != SPACE)])
-        letters = counted[b] - counted[a]
-        bits = -(sums[b] - sums[a]) / np.maximum(b - a, 1)[:, None]
-        return bits, letters
+        sums, letters = np.zeros((rows, len(self.langs)), dtype=np.int64), np.zeros(rows, dtype=np.int64)
+        if not rows:
+            return sums / UNIT, letters
+        # a text's characters are those after the space before it, up to the space after it
+        for a in range(1, len(codes), BLOCK):
+            b = min(a + BLOCK, len(codes))
+            own = slice(np.searchsorted(starts, a) - 1, np.searchsorted(starts, b - 1))
+            cuts = np.maximum(starts[own] + 1, a) - a
+            sums[own] += np.add.reduceat(self.lookup(packed(codes, starts, a, b), ORDER - 1), cuts, axis=0, dtype=np.int64)
+            letters[own] += np.add.reduceat(codes[a:b] != SPACE, cuts, dtype=np.int64)
+        return -sums / UNIT / np.diff(starts)[:, None], letters
 
     def predict(self, texts: pa.Array) -> dict[str, np.ndarray]:
         bits, letters = self.entropy(texts)
@@ -180,30 +189,39 @@ class CharacterModels:
 
 
 def _sampled(labelled: DataFrame) -> DataFrame:
-    """Rows of the sample with ``part``: 0 to fit, 1 to calibrate; chosen by a hash of doc_id.
+    """Rows of the sample with ``part``: 0 to fit, 1 to calibrate; chosen by a hash of doc_id and text, repeated rows once.
 
-    The languages and their totals are in the plan (the model has a column for each anyway), so no text is shuffled.
+    The languages and their totals are in the plan (the model has a column for each anyway); only sampled texts move.
     """
     totals = labelled.groupBy("lang").agg(F.count("*").alias("total")).collect()
     if not totals:
-        return labelled.select("lang", "text", F.lit(0).alias("part"))
+        return labelled.select("lang", F.lit(0).alias("part"), "text")
     total = F.create_map(*[F.lit(x) for r in totals for x in (r["lang"], float(r["total"]))])[F.col("lang")]
-    place = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30) * total
+    key = F.xxhash64("doc_id", "text", F.lit("language"))
+    place = F.pmod(key, F.lit(1 << 30)) / float(1 << 30) * total
     part = (place >= F.least(total, F.lit(float(SAMPLE + CALIBRATION))) * (SAMPLE / (SAMPLE + CALIBRATION))).cast("int")
-    return labelled.where(place < SAMPLE + CALIBRATION).select("lang", "text", part.alias("part"))
+    rows = labelled.where(place < SAMPLE + CALIBRATION).select("lang", part.alias("part"), key.alias("key"), "text")
+    return rows.groupBy("lang", "part", "key").agg(F.first("text").alias("text")).drop("key")
 
 
 def train(labelled: DataFrame) -> CharacterModels:
-    """Models of the languages of ``labelled`` (doc_id, text, lang), without rows whose text or lang is null."""
+    """Models of the languages of ``labelled`` (doc_id, text, lang), without rows whose text or lang is null.
+
+    About ``SAMPLE`` documents of each language are learned from and ``CALIBRATION`` say what is usual; texts without
+    letters say nothing.
+    """
     rows = _sampled(pick(labelled, "doc_id", "text", "lang").where("text is not null and lang is not null"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang in pc.unique(batch.column("lang")).to_pylist():
-                for part in slices(batch.filter(pc.equal(batch.column("lang"), lang))):
-                    codes, _ = characters(part.column("text"))
-                    grams, n = np.unique(packed(codes)[1:], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+                for part in slices(batch.filter(pc.equal(batch.column("lang"), lang)), most=SLICE):
+                    codes, starts = characters(part.column("text"))
+                    some = np.repeat(np.diff(starts) > 1, np.diff(starts))
+                    for a in range(1, len(codes), BLOCK):
+                        b = min(a + BLOCK, len(codes))
+                        grams, n = np.unique(packed(codes, starts, a, b)[some[a - 1 : b - 1]], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     counted = rows.where("part = 0").select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     model = CharacterModels.fit({lang: (own["gram"].to_numpy(dtype=np.int64).view(np.uint64), own["n"].to_numpy()) for lang, own in counted.groupby("lang")})
@@ -211,7 +229,7 @@ def train(labelled: DataFrame) -> CharacterModels:
     def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {lang: i for i, lang in enumerate(model.langs)}
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 bits, letters = model.entropy(part.column("text"))
                 own = [bits[r, at[lang]] if lang in at and n >= 40 else None for r, (lang, n) in enumerate(zip(part.column("lang").to_pylist(), letters.tolist(), strict=True))]
                 yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(own, pa.float64())], ["lang", "bits"])
@@ -239,7 +257,7 @@ def identify(docs: DataFrame, model: CharacterModels, keep: tuple[str, ...] = ("
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 p = model.predict(part.column("text"))
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], pa.array(p["lang"].tolist(), pa.string()), pa.array(p["score"]), pa.array(p["bits"]), pa.array(p["rejected"])], [*keep, "lang_pred", "score", "bits", "rejected"])
 

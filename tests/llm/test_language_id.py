@@ -1,16 +1,30 @@
 import math
 import random
-from collections import Counter, defaultdict
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 
-from quaywork.llm.language_id import ORDER, CharacterModels, characters, identify, packed, train
+from quaywork.llm import language_id as li
+from quaywork.llm.language_id import ORDER, UNIT, CharacterModels, characters, identify, packed, train
+from quaywork.llm.queries import op8_language_id
 
 
-def codes(texts):
-    c, starts = characters(pa.array(texts))
-    return c, starts
+def normal(text):
+    """Lower-case letters with single spaces in place of all else, one before and one after the text."""
+    words = "".join(ch.lower() if ch.isalpha() and len(ch.lower()) == 1 else ch if ch.isalpha() else " " for ch in text or "").split()
+    return [*(" " + " ".join(words)), " "]
+
+
+def plain_grams(text):
+    """Each character after the leading space with the three before it; spaces stand before a text."""
+    full = " " * (ORDER - 1) + "".join(normal(text))
+    return [full[i - ORDER + 1 : i + 1] for i in range(ORDER, len(full))]
+
+
+def key_of(gram):
+    return sum(min(ord(ch), 0xFFFF) << 16 * (ORDER - 1 - i) for i, ch in enumerate(gram))
 
 
 def reference_log2(counts, alphabet, gram):
@@ -43,17 +57,15 @@ def test_probabilities_are_interpolated_kneser_ney():
     texts = {"x": "abab abba baab", "y": "cab cabba acc"}
     counts, plain = {}, {}
     for lang, text in texts.items():
-        c, _ = codes([text])
-        p = packed(c)[1:]
-        g, n = np.unique(p, return_counts=True)
+        plain[lang] = Counter(plain_grams(text))
+        c, starts = characters(pa.array([text]))
+        g, n = np.unique(packed(c, starts, 1, len(c)), return_counts=True)
         counts[lang] = (g, n)
-        full = "".join(map(chr, [32] * (ORDER - 1) + c.tolist()))
-        plain[lang] = Counter(full[i : i + ORDER] for i in range(1, len(c)))
+        assert dict(zip(g.tolist(), n.tolist(), strict=True)) == {key_of(x): m for x, m in plain[lang].items()}
     model = CharacterModels.fit(counts)
     alphabet = len({g[-1] for p in plain.values() for g in p})
     wanted = sorted({g for p in plain.values() for g in p} | {"abcc", "zzzz", "bbbb", "aaca", "   c"})
-    keys = np.array([sum(ord(ch) << 16 * (ORDER - 1 - i) for i, ch in enumerate(g)) for g in wanted], dtype=np.uint64)
-    got = model.lookup(keys, ORDER - 1)
+    got = model.lookup(np.array([key_of(g) for g in wanted], dtype=np.uint64), ORDER - 1) / UNIT
     for row, gram in zip(got, wanted, strict=True):
         for i, lang in enumerate(model.langs):
             assert abs(row[i] - reference_log2(plain[lang], alphabet, gram)) < 1e-4, (gram, lang)
@@ -84,8 +96,70 @@ def test_empty_tables_and_long_texts(spark):
     assert identify(long, one).first().lang_pred == "en"
 
 
-def test_long_runs_of_batches_keep_texts_apart():
-    texts = ["Abc, déf", "", None, "!!", "x", "yz 12 yz"]
-    c, starts = codes(texts)
-    cut = ["".join(map(chr, c[a:b].tolist())).strip() for a, b in zip(starts, starts[1:], strict=False)]
-    assert cut == ["abc déf", "", "", "", "x", "yz yz"]
+def test_texts_are_kept_apart():
+    texts = ["Abc, déf", "", None, "!!", "x", " yz 12 yz. ", "- a"]
+    c, starts = characters(pa.array(texts))
+    assert [c[a : b + 1].tolist() for a, b in zip(starts, starts[1:], strict=False)] == [[ord(ch) for ch in normal(t)] for t in texts[:1]] + [[32, 32]] * 3 + [[ord(ch) for ch in normal(t)] for t in texts[4:]]
+
+
+def made_model(rnd, spread=True):
+    kinds = {"aa": "abcde ", "bb": "cdefg ", "cc": "xyzab "}
+    plain = {lang: Counter(g for _ in range(40) for g in plain_grams("".join(rnd.choice(letters) for _ in range(60)))) for lang, letters in kinds.items()}
+    model = CharacterModels.fit({lang: (np.array([key_of(g) for g in own], dtype=np.uint64), np.array(list(own.values()))) for lang, own in plain.items()})
+    model.mean, model.spread = np.array([2.0, 2.5, 2.2]), np.array([0.15, 0.2, 0.2])
+    return plain, model
+
+
+def test_predictions_equal_a_plain_version_whatever_stands_beside_a_text(monkeypatch):
+    rnd = random.Random(3)
+    plain, model = made_model(rnd)
+    texts = ["".join(rnd.choice("abcdefgxyz .,É1") for _ in range(rnd.choice([1, 3, 20, 90]))) for _ in range(30)] + [None, "", "12 !", "zz", "zz", "abc " * 60]
+    together = model.predict(pa.array(texts))
+    known: dict = {}
+    for i, text in enumerate(texts):
+        grams = plain_grams(text)
+        letters = sum(ch != " " for ch in normal(text))
+        bits = []
+        for lang in model.langs:
+            for g in grams:
+                if (lang, g) not in known:
+                    known[lang, g] = reference_log2(plain[lang], len({x[-1] for p in plain.values() for x in p}), g)
+            bits.append(-sum(known[lang, g] for g in grams) / len(grams))
+        best = min(range(3), key=lambda k: bits[k])
+        if not letters:
+            assert (together["lang"][i], together["score"][i], together["rejected"][i]) == ("und", 0, True)
+            continue
+        assert together["lang"][i] == model.langs[best] and abs(together["bits"][i] - bits[best]) < 1e-4
+        assert abs(together["score"][i] - 1 / sum(2 ** (-8 * (x - bits[best])) for x in bits)) < 1e-3
+        assert together["rejected"][i] == (bits[best] > model.mean[best] + li.TOLERANCE * model.spread[best] * math.sqrt(1 + 400 / letters))
+    assert any(together["rejected"][:30]) and not all(together["rejected"][:30])
+    order = rnd.sample(range(len(texts)), len(texts))
+    shuffled = model.predict(pa.array([texts[i] for i in order]))
+    monkeypatch.setattr(li, "BLOCK", 17)  # texts over several blocks, blocks of several texts
+    blocks = model.predict(pa.array(texts))
+    for name, values in together.items():
+        assert [shuffled[name][order.index(i)] for i in range(len(texts))] == list(values) == list(blocks[name])
+        assert [model.predict(pa.array([t], pa.string()))[name][0] for t in texts] == list(values)
+
+
+def test_repeated_rows_are_learned_once_and_answered_alike(spark):
+    rows = [(1, "kati mora tolu " * 5, "aa"), *[(i, f"xelu niro {'qo ' * (i % 7)}", "bb") for i in range(2, 100)]]
+    kind = "doc_id long, text string, lang string"
+    once = train(spark.createDataFrame(rows, kind))
+    again = train(spark.createDataFrame(rows * 3, kind).repartition(5))  # small enough for all rows to be in both samples
+    assert all((a == b).all() for x, y in zip((*once.grams, *once.logs), (*again.grams, *again.logs), strict=True) for a, b in [(x, y)])
+    got = {(r.doc_id, r.lang_pred, r.score, r.bits, r.rejected) for r in identify(spark.createDataFrame(rows * 3, kind).repartition(7), again).collect()}
+    assert len(got) == len(rows)
+
+
+def test_query_learns_from_its_folds_only(spark, tmp_path):
+    rnd = random.Random(8)
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
+    word = lambda lang: "".join(rnd.choice({"aa": ["ka", "to"], "bb": ["xi", "wo"]}[lang]) for _ in range(3))
+    rows = [(i, " ".join(word("ab"[i % 2] * 2) for _ in range(20)), "zz" if i in held else "ab"[i % 2] * 2, "s") for i in range(400)] + [(None, "kato tok", None, None), (500, None, "aa", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = op8_language_id(spark, str(tmp_path)).collect()
+    got = {r.doc_id: r for r in out}
+    assert len(out) == len(rows) and {r.doc_id for r in out if r.held_out} == {i for i in got if zlib.crc32(("" if i is None else str(i)).encode()) % 4 == 2}
+    assert all(got[i].lang_pred == "ab"[i % 2] * 2 for i in range(400))  # the label zz stands in the held-out fold alone
+    assert (got[500].lang_pred, got[500].score) == ("und", 0.0)
