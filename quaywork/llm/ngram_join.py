@@ -8,8 +8,8 @@ stand in the lists as well, for their heavy partners. The boundary is the size a
 
 Only connectivity is asked for, so a list isn't expanded into its pairs: members are first compared with the list's
 head, and only members that are then still in different components are compared with one another, unless sizes,
-positions or parity sketches of the sets show that they can't link. No link that could
-join two components is left out, and the groups found are exact (up to 64-bit hashes).
+positions or parity sketches of the sets show that they can't link; a long list is dealt to blocks for that. No link
+that could join two components is left out, and the groups found are exact (up to 64-bit hashes).
 
 Style: Arrow and numpy make sets and list entries inside map tasks; lists, pairs and comparison are DataFrame joins,
 which Spark splits where a key is hot. What is broadcast is bounded (``SLOTS`` counters,
@@ -39,6 +39,8 @@ MOST_BITS = 1 << 27
 PARITY = 4
 #: Sets above this size, of which parities tell little, also get a sketch of so many counts.
 COUNTED_ABOVE, COUNTS = 500, 512
+#: Members of a list that one task compares with those of other components.
+LIST_BLOCK = 4096
 #: No set above this size counts as light, whatever the cost.
 MOST_LIGHT = 26
 
@@ -147,9 +149,9 @@ def _bits(column: str, rows: DataFrame) -> np.ndarray:
     """A filter of the hashes in ``column``: bit h mod 2^k is set for every hash h; k grows with the rows, up to a bound."""
     size = 1 << min(max(16, (16 * rows.count()).bit_length()), MOST_BITS.bit_length() - 1)
     slot = F.col(column).bitwiseAND(F.lit(size - 1))
-    packed = rows.select(slot.alias("s")).groupBy(F.expr("cast(s div 64 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).toPandas()
+    packed = rows.select(slot.alias("s")).groupBy(F.expr("cast(s div 64 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).toArrow()
     bits = np.zeros(size // 64, dtype=np.int64)
-    bits[packed["w"].to_numpy(dtype=np.int64)] = packed["bits"].to_numpy(dtype=np.int64)
+    bits[packed["w"].to_numpy()] = packed["bits"].to_numpy()
     return bits.view(np.uint64)
 
 
@@ -248,16 +250,18 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     every = first.where("n is not null").select("doc_id", "n", "vertex", *SKETCH)
     sets = every.where("n > 0 and doc_id is not null")
     reps = materialise(sets.groupBy("vertex").agg(F.min("doc_id").alias("doc_id"), F.first("n").cast("int").alias("n"), *[F.first(c).alias(c) for c in SKETCH]))
-    sketch = first.where("slot is not null").groupBy("slot").agg(F.sum("count").alias("count")).toPandas()
+    sketch = first.where("slot is not null").groupBy("slot").agg(F.sum("count").alias("count")).toArrow()
     common = np.zeros(SLOTS, dtype=np.int64)
-    common[sketch["slot"].to_numpy(dtype=np.int64)] = sketch["count"].to_numpy(dtype=np.int64)
+    common[sketch["slot"].to_numpy()] = sketch["count"].to_numpy()
     sizes = {r["n"]: r["count"] for r in reps.where(F.col("n") <= MOST_LIGHT).groupBy("n").count().collect()}
     boundary = light_boundary(sizes, percent)
 
     # first only where each list begins and ends; then the entries of lists with more than one set
     lists = _entries(known, width, percent, boundary, common).groupBy("key").agg(F.min("rank").alias("head_rank"), F.max("rank").alias("last_rank"))
     lists = materialise(lists.where("head_rank < last_rank").select("key", "head_rank"))
-    entries = materialise(_entries(known, width, percent, boundary, common, _bits("key", lists)).join(lists, "key"))
+    # copies in other tasks made the same entries: one of each is left before lists are looked at
+    made = _entries(known, width, percent, boundary, common, _bits("key", lists)).join(lists, "key")
+    entries = materialise(made.dropDuplicates(["key", "vertex", "light"]))
     heads = entries.where("rank = head_rank").select("key", F.col("vertex").alias("head"), F.col("n").alias("head_n"), F.col("pos").alias("head_pos"))
     members = materialise(entries.where("rank <> head_rank").drop("rank", "head_rank").join(heads, "key"))
 
@@ -303,11 +307,15 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         early = listed.withColumn("early", _needed("n", "n", percent) <= F.expr("n - pos"))
         useful = early.groupBy("key").agg(F.max("early").alias("some")).where("some").select("key")
         placed = early.join(useful, "key", "left_semi").drop("early").join(at, "vertex")
-        apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        open_lists = materialise(placed.join(apart, "key", "left_semi").distinct())
-        p, q = open_lists.alias("p"), open_lists.alias("q")
+        kinds = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+        apart = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("total"), F.max_by("component", F.struct("n", "component")).alias("most")).where("kinds > 1")
+        open_lists = materialise(placed.join(apart.drop("kinds"), "key").withColumn("blocks", F.ceil(F.col("total") / LIST_BLOCK).cast("int")))
+        # members of a list's largest component need no look at one another: the others are compared with all, block by block
+        p = open_lists.where("component <> most").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("p")
+        q = open_lists.withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")).alias("q")
+        once = (F.col("p.component") < F.col("q.component")) | ((F.col("p.component") > F.col("q.component")) & (F.col("q.component") == F.col("q.most")))
         fit = (F.lit(100) * F.least("p.n", "q.n") >= F.lit(percent) * F.greatest("p.n", "q.n")) & (_needed("p.n", "q.n", percent) <= F.least(F.expr("p.n - p.pos"), F.expr("q.n - q.pos")))
-        rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.component") < F.col("q.component")) & fit & _can_link("p.", "q.", percent)).select(F.col("p.vertex").alias("a"), F.col("q.vertex").alias("b"))
+        rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.block") == F.col("q.block")) & once & fit & _can_link("p.", "q.", percent)).select(F.col("p.vertex").alias("a"), F.col("q.vertex").alias("b"))
         tried = heavy.where(alike).select(F.col("vertex").alias("a"), F.col("head").alias("b"))
         tried = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
         more = linked(as_ids(rest.distinct().join(tried, ["a", "b"], "left_anti")))

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from quaywork.llm import ngram_join as nj
 from quaywork.llm.components import connected_components
 from quaywork.llm.ngram_join import light_boundary, need, ngram_join, one_of_each
 
@@ -77,3 +78,36 @@ def test_components_of_paths_stars_and_loops(spark):
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 151)} | {i: 7 for i in [7, *range(20, 60)]} | {800: 800, 900: 800}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_long_lists_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nj, "LIST_BLOCK", 3)
+    rnd = random.Random(4)
+    vocab = [f"w{i}" for i in range(70)]  # few words: every list is long and holds several components
+    rows = [(i, " ".join(rnd.sample(vocab, rnd.choice([34, 40, 46])))) for i in range(60)]
+    rows += [(len(rows) + i, " ".join(rnd.sample(t.split(), len(t.split()))[rnd.randrange(4) :])) for i, (_, t) in enumerate(rows[:30])]
+    got = ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 1, 75).collect()
+    want = brute(rows, 1, 75)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and 20 < len({c for _, c in want.values()}) < 85
+
+
+def test_large_sets_and_very_long_texts(spark):
+    rnd = random.Random(6)
+    vocab = [f"w{i}" for i in range(5000)]
+    rows = []
+    for size in (600, 900, 1500, 3000):  # sets that have a sketch of counts
+        base = [rnd.choice(vocab) for _ in range(size)]
+        for changed in (0, 0.01, 0.02, 0.06, 0.3):
+            rows.append((len(rows), " ".join(rnd.choice(vocab) if rnd.random() < changed else w for w in base)))
+    long = " ".join(rnd.choice(vocab) for _ in range(300_000))
+    rows += [(100, long), (101, long + " w1 w2"), (102, long[: len(long) // 2]), (103, "w1 " * 200_000)]
+    got = ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 4, 85)
+
+
+def test_copies_in_many_partitions(spark):
+    rnd = random.Random(2)
+    base = [f"w{rnd.randrange(500)}" for _ in range(60)]
+    rows = [(i, " ".join(base if i % 3 else [*base[:-1], f"x{i % 9}"])) for i in range(200)] + [(300 + i, f"a{i} b{i} c d e f g") for i in range(40)]
+    got = ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(40), 4, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 4, 85)
