@@ -223,8 +223,9 @@ def train(labelled: DataFrame) -> CharacterModels:
                         grams, n = np.unique(packed(codes, starts, a, b)[some[a - 1 : b - 1]], return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    counted = rows.where("part = 0").select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    model = CharacterModels.fit({lang: (own["gram"].to_numpy(dtype=np.int64).view(np.uint64), own["n"].to_numpy()) for lang, own in counted.groupby("lang")})
+    counted = rows.where("part = 0").select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    own = {lang: counted.filter(pc.equal(counted.column("lang"), lang)) for lang in pc.unique(counted.column("lang")).to_pylist()}
+    model = CharacterModels.fit({lang: (part.column("gram").to_numpy().view(np.uint64), part.column("n").to_numpy()) for lang, part in own.items()})
 
     def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {lang: i for i, lang in enumerate(model.langs)}

@@ -251,13 +251,13 @@ def score_texts(docs: DataFrame, order: int = 2, folds: int = 5, held_fold: int
         return pa.table({"code": pa.array(codes, pa.int64()), "n": pa.array(counts, pa.int64())})
 
     deleted = blocks.where("deleted").groupBy("block").cogroup(own.where("size(kept) > 0").groupBy("block"))
-    seen = deleted.applyInArrow(events, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    code, steps = seen["code"].to_numpy(dtype=np.int64), []
+    seen = deleted.applyInArrow(events, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    code, steps = seen["code"].to_numpy(), []
     for _ in range(order):
         steps.append(code % BINS)
         code = code // BINS
     p = np.stack([np.ones(len(code)), *[np.where(s > 0, np.exp2((s - BINS // 2) / STEPS), 0.0) for s in steps[::-1]]], axis=1)
-    weights = learn_weights(code, p, seen["n"].to_numpy(dtype=np.float64))
+    weights = learn_weights(code, p, seen["n"].to_numpy().astype(np.float64))
 
     def scores(key: tuple, block: pa.Table, answer: pa.Table) -> pa.Table:
         out = []
