@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Texts are handled in slices of about so many bytes; a single longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MULTIPLIER = np.uint64(0xBF58476D1CE4E5B9)

@@ -237,7 +237,7 @@ def bpe_encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(SparkFiles.get(name))
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=4 << 20):
                 raw = [ids for ids, _ in bpe.encode_column(part.column("text"))]
                 ends = np.cumsum([0, *[len(r) // 4 for r in raw]]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(raw), dtype="<i4"))
@@ -273,7 +273,7 @@ def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(SparkFiles.get(name))
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=4 << 20):
                 counts, ids_hash, text_hash = [], [], []
                 for ids, decoded in bpe.encode_column(part.column("text")):
                     counts.append(len(ids) // 4)

@@ -114,7 +114,7 @@ def token_counts(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
             _COUNTERS.clear()
             counter = _COUNTERS[key] = UnigramCounter(pieces)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=4 << 20):
                 texts = part.column("text").to_pylist()
                 found = [counter.count_text(t) for t in texts]
                 tokens, unknowns, scores = zip(*found, strict=True)
