@@ -30,6 +30,25 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"), order=2)
 
 
+OP2_SQL = """
+with recursive v as (
+  select vec_id, cast(embedding as double[]) as x from embeddings
+  where vec_id is not null and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0 and len(list_filter(embedding, lambda e: e <> 0)) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from v a, v b
+  where a.vec_id <> b.vec_id and list_inner_product(a.x, b.x) >= 0.95e0 * sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x))
+), reach as (
+  select a as id, b as other from links union select reach.id, links.b from reach join links on reach.other = links.a
+), parts as (
+  select id, least(id, min(other)) as component_id from reach group by id
+), degrees as (
+  select a as id, count(*) as n from links group by a
+)
+select e.vec_id, coalesce(d.n, 0) as n_links, coalesce(p.component_id, e.vec_id) as component_id, coalesce(coalesce(p.component_id, e.vec_id) = e.vec_id, false) as kept
+from embeddings e left join parts p on e.vec_id = p.id left join degrees d on e.vec_id = d.id
+"""
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of embeddings linked by a cosine of 0.95 or more."""
     return near_vectors(_table(spark, sf_dir, "embeddings"), 0.95)
@@ -100,6 +119,24 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(_table(spark, sf_dir, "documents"))
 
 
+#: CRC-32 of a text's UTF-8 bytes, byte by byte with the table of its polynomial.
+OP7_SQL = """
+with t as (
+  select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as crc
+), d as (
+  select doc_id, octet_length(encode(coalesce(text, ''))) + 1 as size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: cast('0x' || h as bigint)) as bytes from documents
+), c as (
+  select doc_id, cast(size as bigint) as size, xor(4294967295, list_reduce(bytes, lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295)) as text_crc32 from d, t
+), placed as (
+  select *, cast(sum(size) over (order by doc_id nulls first, text_crc32, size rows unbounded preceding) as bigint) - size as before, cast(sum(size) over () as bigint) as total from c
+), cut as (
+  select *, cast(least(16 * (2 * before + size) // (2 * total), 15) as integer) as shard from placed
+)
+select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by before) - 1 as slot, cast(null as integer) as grown_shard from cut
+"""
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 contiguous shards of near-equal bytes."""
     return shard(_table(spark, sf_dir, "documents"), 16)
@@ -124,11 +161,49 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_chats(rows.unionByName(more), ranks), ranks)
 
 
+#: Escaping puts one character into each control string; turns that tie in order and role are put in order by text.
+OP9_SQL = """
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, n, who, '\\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) t(n, who)
+), sized as (
+  select *, len(text) + len(regexp_extract_all(text, '#\\\\*## (?:System|User|Assistant|Other):|<\\\\*/(?:role|turn)>')) as text_chars,
+    len(role) + len(regexp_extract_all(role, '#\\\\*## (?:System|User|Assistant|Other):|<\\\\*/(?:role|turn)>')) as role_chars from turns
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(coalesce(sum(len(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(text_chars + 8 + case role when 'system' then 12 when 'user' then 10 when 'assistant' then 15 else 11 + role_chars + 7 end) as bigint) as formatted_chars
+from sized group by conv_id
+"""
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of 4-word shingles have a Jaccard likeness of 0.85 or more."""
     return ngram_join(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+OP10_SQL = """
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents
+), s as (
+  select doc_id, list_distinct(case when len(words) = 0 then [] when len(words) < 4 then [array_to_string(words, ' ')]
+    else list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i : i + 3], ' ')) end) as grams from w
+), g as (
+  select doc_id, len(grams) as n, unnest(grams) as gram from s
+), shared as (
+  select a.doc_id as a, b.doc_id as b, a.n as n, b.n as m, count(*) as common from g a join g b on a.gram = b.gram and a.doc_id <> b.doc_id group by 1, 2, 3, 4
+), links as (
+  select a, b from shared where 100 * common >= 85 * (n + m - common)
+), reach as (
+  select a as id, b as other from links union select reach.id, links.b from reach join links on reach.other = links.a
+), parts as (
+  select id, least(id, min(other)) as component_id from reach group by id
+)
+select s.doc_id, cast(len(grams) as bigint) as n_shingles, coalesce(p.component_id, s.doc_id) as component_id from s left join parts p on s.doc_id = p.id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
@@ -146,5 +221,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_embedding_dedup": OP2_SQL,
         "op5_mixing": OP5_SQL,
+        "op7_sharding": OP7_SQL,
+        "op9_chat_format": OP9_SQL,
+        "op10_ngram_join": OP10_SQL,
     }
