@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,10 +20,20 @@ def place_key(text: Column) -> Column:
     return F.upper(F.regexp_replace(trimmed(text), f"{BLANK}+", " "))
 
 
+def _unaccented() -> tuple[str, str]:
+    """Latin letters that are a base letter with marks, and those base letters."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    return tuple("".join(x) for x in zip(*[(a, b) for a, b in pairs if b.isascii() and a != b], strict=True))
+
+
+ACCENTED, BASE = _unaccented()
+
+
 def natural_key(text: Column) -> Column:
-    """A key whose plain order puts a2 before a10: lower case, runs of digits filled up with zeros."""
-    parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
+    """A key whose plain order puts a2 before a10: case and Latin accents ignored, runs of digits by their value."""
+    parts = F.regexp_extract_all(F.lower(F.translate(text, ACCENTED, BASE)), F.lit(r"(\d+|\D+)"), F.lit(1))
+    number = lambda p: F.ltrim(p, F.lit("0"))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(number(p)).cast("string"), 4, "0"), number(p))).otherwise(p)), "")
 
 
 def matches_search(query: str, *columns: str) -> Column:

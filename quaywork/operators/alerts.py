@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import ALERT_TYPES, COST_CRITICAL_MULTIPLE, DELAY_CRITICAL_DAYS, RECENT_LATE_DAYS, SEVERITIES
 from ..functions.dates import day_text
-from ..functions.numbers import money_text
+from ..functions.numbers import fixed, money_text
 from ..functions.text import natural_key, status_label
 
 
@@ -46,8 +46,8 @@ def _of_shipment(when: Column, kind: str, key: Column, severity: Column | str, t
     return _alert(when, kind, key, severity, title, message, "shipment", F.col("shipment_id"), F.col("shipment_id"))
 
 
-def record_alerts(shipments: DataFrame, today: date) -> DataFrame:
-    """Delays, missing dates and data issues; needs no cost assessment."""
+def record_alerts(shipments: DataFrame, today: date, *more: Column) -> DataFrame:
+    """Delays, missing dates and data issues, and ``more``; by itself it needs no cost assessment."""
     sid, route, carrier = F.col("shipment_id"), F.col("route_label"), F.col("carrier")
     days, eta = F.col("days_late").cast("string"), day_text(F.col("estimated_delivery"))
     state = F.col("delivery_state")
@@ -59,39 +59,49 @@ def record_alerts(shipments: DataFrame, today: date) -> DataFrame:
         _of_shipment(recent, "shipment_delayed", delayed, "info", _say("Delivered late: ", sid), _say(route, " via ", carrier, " arrived ", days, " day(s) after the estimated ", eta, ".")),
         _of_shipment(F.array_contains("missing_dates", "estimated_delivery"), "missing_info", _say("missing_info:shipment:", sid, ":eta"), "warning", _say("Missing estimated delivery: ", sid), _say(route, " (", F.lower(status_label(F.col("status"))), ") has no estimated delivery date, so delays cannot be detected.")),
         _of_shipment(F.array_contains("missing_dates", "actual_delivery"), "missing_info", _say("missing_info:shipment:", sid, ":actual"), "warning", _say("Missing delivery date: ", sid), _say(route, " is marked delivered but has no actual delivery date.")),
+        *more,
     ))
     return shipments.select(F.explode(F.concat(fixed, issues)).alias("a")).select("a.*")
 
 
-def cost_alerts(assessed: DataFrame) -> DataFrame:
+def _cost_alert() -> Column:
     sid, cost, base = F.col("shipment_id"), F.col("shipping_cost_cents"), F.col("baseline_cents")
     usual = F.when(F.col("cost_method") == "route_carrier", "this route with this carrier").when(F.col("cost_method") == "route", "this route").otherwise("a shipment of this distance")
     grade = F.when(cost >= base * COST_CRITICAL_MULTIPLE, "critical").otherwise("warning")
-    said = _say(money_text(cost), " is ", F.format_number(cost / base, 1), "× the typical ", money_text(base), " for ", usual, ".")
-    flagged = assessed.where("is_cost_anomaly and baseline_cents > 0")
-    return _exploded(flagged, [_of_shipment(F.lit(True), "cost_anomaly", _say("cost_anomaly:shipment:", sid), grade, _say("Unusual shipping cost: ", sid), said)])
+    said = _say(money_text(cost), " is ", fixed(cost / base, 1), "× the typical ", money_text(base), " for ", usual, ".")
+    return _of_shipment(F.col("is_cost_anomaly") & (base > 0), "cost_anomaly", _say("cost_anomaly:shipment:", sid), grade, _say("Unusual shipping cost: ", sid), said)
+
+
+def cost_alerts(assessed: DataFrame) -> DataFrame:
+    return _exploded(assessed.where("is_cost_anomaly and baseline_cents > 0"), [_cost_alert()])
 
 
 def shipment_alerts(assessed: DataFrame, today: date) -> DataFrame:
-    return record_alerts(assessed, today).unionByName(cost_alerts(assessed))
+    """All alerts of shipments, in one pass over their assessed rows."""
+    return record_alerts(assessed, today, _cost_alert())
 
 
 def capacity_alerts(utilization: DataFrame) -> DataFrame:
     code, name = F.col("code"), F.col("name")
-    said = _say(F.col("units").cast("string"), " units stored vs capacity ", F.col("capacity_units").cast("string"), " (", F.format_number(F.col("utilization") * 100, 1), "%).")
+    said = _say(F.col("units").cast("string"), " units stored vs capacity ", F.col("capacity_units").cast("string"), " (", fixed(F.col("utilization") * 100, 1), "%).")
     return _exploded(utilization, [_alert(F.col("utilization") > 1, "invalid_data", _say("invalid_data:warehouse:", code), "warning", _say("Over capacity: ", name), said, "warehouse", code, name)])
 
 
-def all_alerts(inventory: DataFrame, shipments: DataFrame, assessed: DataFrame, utilization: DataFrame, locations: DataFrame, today: date) -> DataFrame:
-    """Every alert, each from the least enriched table that has what it needs."""
-    from_shipments = record_alerts(shipments, today).unionByName(cost_alerts(assessed))
-    return inventory_alerts(inventory, locations).unionByName(from_shipments).unionByName(capacity_alerts(utilization)).withColumn("kind", attention_kind())
+def all_alerts(inventory: DataFrame, assessed: DataFrame, utilization: DataFrame, locations: DataFrame, today: date) -> DataFrame:
+    """Every alert, with its attention kind."""
+    every = inventory_alerts(inventory, locations).unionByName(shipment_alerts(assessed, today)).unionByName(capacity_alerts(utilization))
+    return every.withColumn("kind", attention_kind())
+
+
+def order_key() -> Column:
+    """The place of an alert in the list as text: by severity, type, then its entity's id with numbers in number order."""
+    place = lambda column, names: F.array_position(F.array(*[F.lit(n) for n in names]), F.col(column)).cast("string")
+    return F.concat(place("severity", SEVERITIES), place("type", ALERT_TYPES), natural_key(F.col("entity.id")))
 
 
 def in_order(alerts: DataFrame) -> DataFrame:
-    """By severity, type, then id with numbers in number order."""
-    place = lambda column, names: F.array_position(F.array(*[F.lit(n) for n in names]), F.col(column))
-    return alerts.orderBy(place("severity", SEVERITIES), place("type", ALERT_TYPES), natural_key(F.col("entity.id")), "alert_id")
+    """The alerts in the order of the list; sorts all of them, so what isn't shown is better left to ``order_key``."""
+    return alerts.orderBy(order_key(), "alert_id")
 
 
 def attention_kind() -> Column:
@@ -101,6 +111,12 @@ def attention_kind() -> Column:
     return F.when(F.col("severity") != "info", kind)
 
 
+def severity_counts(alerts: DataFrame) -> DataFrame:
+    """A row for each severity in fixed order, zeros too."""
+    counts = alerts.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(s).alias("severity"), F.col(s).alias("alerts")) for s in SEVERITIES])))
+
+
 def filter_alerts(alerts: DataFrame, severity: str = "all", kind: str = "all", attention: str = "all", query: str = "") -> DataFrame:
     from ..functions.text import matches_search
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import ATTENTION_KINDS, COST_CRITICAL_MULTIPLE, DELAY_CRITICAL_DAYS, QUEUE_ROWS, QUEUE_STOCK_ROWS
+from ..functions.numbers import compact_money
 from ..functions.text import counted, natural_key
 from .inventory import short_units
 
@@ -20,13 +21,6 @@ def place_name(locations: DataFrame) -> DataFrame:
     return locations.select(F.col("code").alias("warehouse"), F.regexp_replace("name", " DC$", "").alias("place"))
 
 
-def _compact(cents: Column) -> Column:
-    """``$12.3K``, ``$1.24M``."""
-    dollars = cents / 100.0
-    scaled = lambda unit, places, mark: F.concat(F.lit("$"), F.format_number(dollars / unit, places), F.lit(mark))
-    return F.when(dollars >= 999_500, scaled(1e6, 2, "M")).when(dollars >= 1000, scaled(1e3, 1, "K")).otherwise(F.concat(F.lit("$"), F.format_number(dollars, 2)))
-
-
 def transfer_plan(inventory: DataFrame, locations: DataFrame) -> DataFrame:
     """For every item not in stock: units and cents short before a restock, the best donor and what it moves.
 
@@ -62,7 +56,7 @@ def stock_candidates(plan: DataFrame) -> DataFrame:
     what = F.when(out, F.concat("product_name", F.lit(" is out of stock in "), "place")).otherwise(F.concat("product_name", F.lit(" runs out in "), "place", F.lit(" "), runs_out))
     return plan.where("short_cents > 0").select(
         F.concat(F.lit("stock:"), "item_id").alias("key"), F.when(out, "critical").otherwise("warning").alias("tone"), F.col("short_cents").alias("cents"), F.coalesce("days_of_supply", F.lit(0.0)).alias("days_of_supply"),
-        F.lit(1).cast("long").alias("shipments"), F.col("item_id").alias("sort_key"), what.alias("what"), F.concat(_compact(F.col("short_cents")), F.lit(" short before restock")).alias("damage"), "action",
+        F.lit(1).cast("long").alias("shipments"), F.col("item_id").alias("sort_key"), what.alias("what"), F.concat(compact_money(F.col("short_cents")), F.lit(" short before restock")).alias("damage"), "action",
     )
 
 
@@ -83,7 +77,7 @@ def billing_candidates(overbilling: DataFrame) -> DataFrame:
     on = F.when(F.col("shipments") == 1, F.col("first_id")).otherwise(F.concat(F.format_number("shipments", 0), F.lit(" shipments")))
     return overbilling.select(
         F.concat(F.lit("billing:"), "carrier").alias("key"), F.when(F.col("critical"), "critical").otherwise("warning").alias("tone"), "cents", F.lit(None).cast("double").alias("days_of_supply"), "shipments",
-        F.col("carrier").alias("sort_key"), F.concat("carrier", F.lit(" billed "), _compact(F.col("cents")), F.lit(" above typical on "), on).alias("what"), F.lit(None).cast("string").alias("damage"),
+        F.col("carrier").alias("sort_key"), F.concat("carrier", F.lit(" billed "), compact_money(F.col("cents")), F.lit(" above typical on "), on).alias("what"), F.lit(None).cast("string").alias("damage"),
         F.when(F.col("shipments") == 1, "Check the invoice").otherwise("Check the invoices").alias("action"),
     )
 

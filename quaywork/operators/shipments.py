@@ -13,6 +13,15 @@ from ..functions.numbers import half_up, miles
 from ..functions.text import place_key, status_label, trimmed
 
 
+#: Rows of a table that is broadcast, at most.
+MOST_SENT = 10_000
+
+
+def sent_if_few(rows: DataFrame) -> DataFrame:
+    """``rows``, marked for broadcast if there are no more than ``MOST_SENT``; they are counted for that."""
+    return F.broadcast(rows) if rows.limit(MOST_SENT + 1).count() <= MOST_SENT else rows
+
+
 def location_keys(locations: DataFrame) -> DataFrame:
     """One row for each text that names a location (its code or its name, upper case): first location by ``_ord``.
 
@@ -30,9 +39,9 @@ def _at(keys: DataFrame, end: str) -> DataFrame:
 def located(shipments: DataFrame, locations: DataFrame) -> DataFrame:
     """Adds both ends' codes and names, route_key, route_label and distance_miles.
 
-    The reference dimension is small by nature; Spark broadcasts it when its size allows, else it is a keyed join.
+    Texts that name locations are broadcast if they are few, else this is a keyed join.
     """
-    keys = location_keys(locations)
+    keys = sent_if_few(location_keys(locations))
     out = shipments.withColumns({f"{end}_text": place_key(F.col(end)) for end in ("origin", "destination")})
     for end in ("origin", "destination"):
         at = _at(keys, end)
@@ -107,13 +116,14 @@ def _score(x: Column, mid: Column, mad: Column, mean_ad: Column) -> Column:
     return F.when(mad > 0, F.lit(MAD_SCALE) * (x - mid) / mad).when(mean_ad > 0, (x - mid) / (F.lit(MEAN_AD_SCALE) * mean_ad)).otherwise(0.0)
 
 
-def peer_statistics(eligible: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
-    """For each group: peers, median, median and mean absolute deviation of ``value``, named ``name``_….
+def peer_statistics(counted: DataFrame, by: list[str], name: str) -> DataFrame:
+    """For each group: peers, median, median and mean absolute deviation of ``v``, named ``name``_….
 
-    Equal values of a group are first counted as one, before any shuffle of rows, so a lane with a third of all rows is
-    a few thousand counted values; both medians are read off running counts over those.
+    ``counted``: values ``v`` and how often each occurs, ``c``. Equal values are added up before anything is ordered, so
+    a lane with a third of all rows is as many rows as it has different costs (in cents, at most 100,000,000), which a
+    task reads in order from disk; both medians are read off running counts over those.
     """
-    counted = eligible.groupBy(*by, value.alias("v")).agg(F.count("*").alias("c"))
+    counted = counted.groupBy(*by, "v").agg(F.sum("c").alias("c"))
     everyone = Window.partitionBy(*by)
 
     def with_median(rows: DataFrame, of: str, out: str) -> DataFrame:
@@ -123,7 +133,7 @@ def peer_statistics(eligible: DataFrame, by: list[str], value: Column, name: str
         hit = lambda at: F.min(F.when(F.col("upto") >= at, F.col(of))).over(everyone)
         return ranked.withColumn(out, (hit(low) + hit(high)) / 2.0)
 
-    ranked = with_median(counted.withColumn("peers", F.sum("c").over(everyone)), "v", "mid")
+    ranked = with_median(counted.withColumn("peers", F.sum("c").over(everyone)).where(F.col("peers") >= MIN_PEERS), "v", "mid")
     ranked = with_median(ranked.withColumn("apart", F.abs(F.col("v") - F.col("mid"))), "apart", "mad")
     out = ranked.groupBy(*by).agg(F.first("peers").alias("peers"), F.first("mid").alias("mid"), F.first("mad").alias("mad"), (F.sum(F.col("apart") * F.col("c")) / F.sum("c")).alias("mean_ad"))
     return out.select(*by, *[F.col(c).alias(f"{name}_{c}") for c in ("peers", "mid", "mad", "mean_ad")])
@@ -147,10 +157,9 @@ def _binned_median(values: DataFrame) -> DataFrame:
     return placed.groupBy().agg(((hit(low) + hit(high)) / 2.0).alias("mid"), F.max("total").alias("peers")).where("peers is not null")
 
 
-def pool_statistics(eligible: DataFrame, value: Column) -> DataFrame:
-    """``peer_statistics`` of all rows as one group, in one row named m_…."""
-    counted = eligible.groupBy(value.alias("v")).agg(F.count("*").alias("c"))
-    mid = _binned_median(counted)
+def pool_statistics(counted: DataFrame) -> DataFrame:
+    """``peer_statistics`` of all values as one group, in one row named m_…; none if there are too few."""
+    mid = _binned_median(counted).where(F.col("peers") >= MIN_PEERS)
     apart = counted.crossJoin(F.broadcast(mid.select("mid"))).select(F.abs(F.col("v") - F.col("mid")).alias("v"), "c")
     mean = apart.agg((F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("m_mean_ad"))
     spread = _binned_median(apart.groupBy("v").agg(F.sum("c").alias("c"))).select(F.col("mid").alias("m_mad"))
@@ -168,12 +177,15 @@ def assess_costs(shipments: DataFrame) -> DataFrame:
     priced = (F.col("status") != "cancelled") & (F.col("shipping_cost_cents") > 0)
     far = F.col("distance_miles") >= MIN_MILES
     per_mile = cost / F.col("distance_miles")
-    eligible = shipments.where(priced).select("route_key", "carrier", "shipping_cost_cents", "distance_miles")
-    close = peer_statistics(eligible, ["route_key", "carrier"], cost, "rc").where(F.col("rc_peers") >= MIN_PEERS)
-    route = peer_statistics(eligible, ["route_key"], cost, "r").where(F.col("r_peers") >= MIN_PEERS)
+    # all three statistics come from one pre-aggregate of the rows
+    costs = shipments.where(priced).groupBy("route_key", "carrier", "shipping_cost_cents", "distance_miles").agg(F.count("*").alias("c"))
+    by_cost = costs.select("route_key", "carrier", cost.alias("v"), "c")
+    close = peer_statistics(by_cost, ["route_key", "carrier"], "rc")
+    route = peer_statistics(by_cost, ["route_key"], "r")
     # only rows without either group need the statistics of all
-    everyone = pool_statistics(eligible.where(far), per_mile).where(F.col("m_peers") >= MIN_PEERS).withColumn("all", F.lit(1))
-    out = shipments.join(close, ["route_key", "carrier"], "left").join(route, ["route_key"], "left").withColumn("all", F.when(far, 1)).join(F.broadcast(everyone), ["all"], "left")
+    everyone = pool_statistics(costs.where(far).groupBy(per_mile.alias("v")).agg(F.sum("c").alias("c"))).withColumn("all", F.lit(1))
+    lanes = by_cost.select("route_key", "carrier").distinct().join(close, ["route_key", "carrier"], "left").join(route, ["route_key"], "left")
+    out = shipments.join(lanes, ["route_key", "carrier"], "left").withColumn("all", F.when(far, 1)).join(F.broadcast(everyone), ["all"], "left")
     method = F.when(~priced, "none").when(F.col("rc_peers").isNotNull(), "route_carrier").when(F.col("r_peers").isNotNull(), "route").when(F.col("m_peers").isNotNull(), "per_mile").otherwise("none")
     out = out.withColumn("cost_method", method)
 

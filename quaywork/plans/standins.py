@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TODAY = date(1998, 7, 1)
+#: Bits of a cost in a packed row, and what makes a day's number positive.
+COST_BITS, EPOCH_SHIFT = 32, 1 << 20
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,23 +65,29 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = _read(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("s_nation"))
     customer = _read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("c_nation"))
     rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    rows = rows.selectExpr(
+    # rows that share an id agree in all that keys decide; status, day and cost decide the rest, packed into one number so
+    # that the least of them is a plain hash aggregate
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    status = "case when l_partkey % 33 = 0 then 0 when o_orderstatus = 'F' or l_returnflag <> 'N' then 1 when o_orderstatus = 'P' then 3 else 2 end"
+    cost = "case when l_partkey % 211 = 0 then 0L else cast(8000 + l_quantity * 40 as bigint) * case when l_orderkey % 61 = 0 then 6 else 1 end end"
+    packed = f"shiftleft(cast({status} as bigint), 60) + shiftleft(cast(unix_date(shipped) + {EPOCH_SHIFT} as bigint), {COST_BITS}) + {cost}"
+    kept = rows.selectExpr(*keys, "s_nation", "c_nation", f"{packed} as packed").groupBy(*keys, "s_nation", "c_nation").agg(F.min("packed").alias("packed"))
+    out = kept.selectExpr(
         "concat_ws('-', 'SHP', l_orderkey, l_linenumber, l_partkey, l_suppkey) as shipment_id",
         "case when l_orderkey % 173 = 0 then concat('WH-', l_partkey % 5) when l_orderkey % 7 = 0 then concat('  ', lower(s_nation), ' ') else s_nation end as origin",
         "case when l_orderkey % 211 = 0 then concat('Depot ', l_orderkey) else c_nation end as destination",
         "case when l_partkey % 17 = 0 then concat('Spot ', l_partkey % 23) else concat('Carrier ', l_suppkey % 5) end as carrier",
-        "case when l_partkey % 33 = 0 then 'cancelled' when o_orderstatus = 'F' or l_returnflag <> 'N' then 'delivered' when o_orderstatus = 'P' then 'pending' else 'in_transit' end as status",
-        "shipped as ship_date",
-        "case when l_orderkey % 97 = 0 then null else date_add(shipped, cast(3 + l_partkey % 7 as int)) end as estimated_delivery",
-        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "shipped",
-    ).selectExpr(
-        "shipment_id", "origin", "destination", "carrier", "status", "ship_date", "estimated_delivery",
-        "case when status <> 'cancelled' and ((status = 'delivered' and l_orderkey % 89 <> 0) or l_orderkey % 83 = 0) then date_add(shipped, cast(l_suppkey % 11 - case when l_partkey % 50 = 0 then 4 else 0 end as int)) end as actual_delivery",
-        "case when l_partkey % 211 = 0 then 0L else cast(8000 + l_quantity * 40 as bigint) * case when l_orderkey % 61 = 0 then 6 else 1 end end as shipping_cost_cents",
+        "element_at(array('cancelled', 'delivered', 'in_transit', 'pending'), cast(shiftright(packed, 60) + 1 as int)) as status",
+        f"date_from_unix_date(cast(shiftright(packed, {COST_BITS}) % {1 << 60 - COST_BITS} - {EPOCH_SHIFT} as int)) as ship_date",
+        f"packed % {1 << COST_BITS} as shipping_cost_cents",
+        "l_orderkey", "l_partkey", "l_suppkey",
+    )
+    return out.selectExpr(
+        "shipment_id", "origin", "destination", "carrier", "status", "ship_date",
+        "case when l_orderkey % 97 = 0 then null else date_add(ship_date, cast(3 + l_partkey % 7 as int)) end as estimated_delivery",
+        "case when status <> 'cancelled' and ((status = 'delivered' and l_orderkey % 89 <> 0) or l_orderkey % 83 = 0) then date_add(ship_date, cast(l_suppkey % 11 - case when l_partkey % 50 = 0 then 4 else 0 end as int)) end as actual_delivery",
+        "shipping_cost_cents",
     )
-    rest = [c for c in rows.columns if c != "shipment_id"]
-    # the least of the whole rows, so ties can't matter; pre-aggregated before the shuffle
-    return rows.groupBy("shipment_id").agg(F.min(F.struct(*rest)).alias("r")).select("shipment_id", *[f"r.{c}" for c in rest])
 
 
 LOCATIONS_SQL = """locations as (

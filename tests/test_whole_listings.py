@@ -23,19 +23,19 @@ def in_order(spark, con, name):
 
 
 def test_sort_goes_down_to_the_nulls(spark, con):
-    values = [r[1] for r in in_order(spark, con, "sort_nulls_last_all")]
+    values = [r[1] for r in in_order(spark, con, "sort_nulls_last")]
     assert len(values) == supply.inventory(spark, SF).count()
     known = [v is not None for v in values]
     assert True in known[50:] and False in known and known == sorted(known, reverse=True)
 
 
 def test_attention_has_every_rank(spark, con):
-    ranks = [r[1] for r in in_order(spark, con, "attention_first_all")]
+    ranks = [r[1] for r in in_order(spark, con, "attention_first")]
     assert {3, 2, 0} <= {*ranks} and ranks == sorted(ranks, reverse=True) and len(ranks) == supply.inventory(spark, SF).count()
 
 
 def test_search_finds_more_than_one_carrier(spark, con):
-    name = "search_shipments_all"
+    name = "search_shipments"
     said = compare(spark, con, name, supply.queries()[name], supply.oracle_sql()[name], SF)
     assert said.startswith("ok "), said
     found = supply.assessed(spark, SF).join(supply.queries()[name](spark, SF), "shipment_id", "left_semi")
