@@ -12,12 +12,12 @@ TODAY = date(1998, 7, 1)
 COST_BITS, EPOCH_SHIFT = 32, 1 << 20
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = _read(spark, sf_dir, "nation").where("n_nationkey < 23")
+    nation = read(spark, sf_dir, "nation").where("n_nationkey < 23")
     cities = nation.select(
         F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("code"),
         F.col("n_name").alias("name"),
@@ -27,7 +27,7 @@ def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("long").alias("capacity_units"),
         (F.col("n_nationkey") + 5).cast("int").alias("_ord"),
     )
-    parts = _read(spark, sf_dir, "part").agg(F.count("*").alias("parts"))
+    parts = read(spark, sf_dir, "part").agg(F.count("*").alias("parts"))
     per_part = F.try_element_at(F.array(*[F.lit(x) for x in (360, 300, 450, 400)]), F.col("w") + 1)
     hubs = parts.withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(4)))).select(
         F.concat(F.lit("WH-"), F.col("w").cast("string")).alias("code"),
@@ -42,7 +42,7 @@ def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_retailprice")
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_retailprice")
     rows = part.withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(4)))).where("p_partkey % 5 <> w")
     return rows.selectExpr(
         "concat('P-', p_partkey) as sku",
@@ -59,11 +59,11 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each id; of rows that share an id the first by all other columns."""
-    line = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", F.col("l_shipdate").cast("date").alias("shipped"))
-    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    supplier = _read(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("s_nation"))
-    customer = _read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("c_nation"))
+    line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", F.col("l_shipdate").cast("date").alias("shipped"))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    supplier = read(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("s_nation"))
+    customer = read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("c_nation"))
     rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
     # rows that share an id agree in all that keys decide; status, day and cost decide the rest, packed into one number so
     # that the least of them is a plain hash aggregate
