@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import importing as im
+from ..operators import profiling as pr
 from . import standins as st
 from .queries import query
 
@@ -168,3 +169,93 @@ def canonical_csv(spark, d):
     rows = im.accepted(im.check_inventory(raw_inventory(spark, d, clean=True), INVENTORY_HEADER, WAREHOUSES))
     rows = rows.withColumn("product_name", F.concat("product_name", F.lit(', "'), "category", F.lit('"')))
     return im.csv_lines(rows, ["sku", "product_name", "warehouse", "quantity", "unit_cost_cents", "lead_time_days"])
+
+
+# Source values as carriers and suppliers write them.
+MONEY_CELLS = "case when o % 11 = 0 then '' when o % 13 = 0 then 'n/a' when o % 7 = 0 then concat('$', 1 + o % 8, ',', 100 + o % 800, '.', 10 + p % 90) else concat('', p % 900) end"
+EURO_CELLS = "case when o % 17 = 0 then concat(1 + o % 8, '.', 100 + o % 800, ',', 10 + p % 90, ' €') when o % 19 = 0 then concat('£ ', o % 50) when o % 23 = 0 then 'free' else concat(p % 90, ',5') end"
+DATE_CELLS = "case when o % 29 = 0 then '-' when o % 5 = 0 then concat(1 + o % 12, '/', 13 + p % 15, '/2026 8:05 PM') else concat(1 + o % 12, '/', 1 + p % 12, '/2026') end"
+OPEN_DATES = "concat(1 + o % 12, '/', 1 + p % 12, '/2026')"
+STATUS_CELLS = "case o % 9 when 0 then 'En Tránsito' when 1 then 'delivered' when 2 then 'CANCELED' when 3 then ' on-hold' when 4 then 'Đã giao' when 5 then 'lost' when 6 then '' when 7 then 'In_Transit' else 'offen' end"
+PLACE_CELLS = "case o % 8 when 0 then concat('wh-', p % 7) when 1 then concat('Hub ', p % 6) when 2 then concat('', p % 5) when 3 then 'NATION_3' when 4 then '  nation_4 ' when 5 then concat('N0', p % 9) when 6 then '' else concat('Depot ', p % 30) end"
+LINES_SQL = "lines as (select l_orderkey * 8 + l_linenumber as line, l_orderkey as o, min(l_partkey) as p from lineitem group by l_orderkey, l_linenumber)"
+
+
+def lines(spark, d):
+    return st.read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p")).selectExpr("l_orderkey * 8 + l_linenumber as line", "l_orderkey as o", "p")
+
+
+def values_of(spark, d, cells: str):
+    return pr.distinct_values(lines(spark, d).selectExpr("line", f"{cells} as cell"), "cell")
+
+
+def _values_sql(cells: str) -> str:
+    return f"{LINES_SQL}, v as (select trim({cells}) as value, count(*) as count, min(line) as first from lines where trim({cells}) <> '' group by 1)"
+
+
+@query(f"with {_values_sql(STATUS_CELLS)} select * from v")
+def distinct_status_values(spark, d):
+    return values_of(spark, d, STATUS_CELLS)
+
+
+@query(f"with {_values_sql(MONEY_CELLS)}, real as (select * from v where value <> 'n/a') select 'unique' as kind, 'us' as preset, 'us' as among, cast(sum(count) as bigint) as examined, cast(0 as bigint) as unfit, count(*) as \"distinct\", true as touched from real")
+def number_preset_unique(spark, d):
+    """Whole numbers and dollars with group marks: one preset reads all."""
+    return pr.number_preset(values_of(spark, d, MONEY_CELLS))
+
+
+@query(f"with {_values_sql(EURO_CELLS)} select 'unique' as kind, 'eu' as preset, 'eu' as among, cast(sum(count) as bigint) as examined, cast(coalesce(sum(count) filter (value = 'free'), 0) as bigint) as unfit, count(*) as \"distinct\", true as touched from v")
+def number_preset_marked(spark, d):
+    return pr.number_preset(values_of(spark, d, EURO_CELLS))
+
+
+@query(f"with {_values_sql(DATE_CELLS)} select 'unique' as kind, 'mdy_slash' as preset, 'mdy_slash' as among, cast(sum(count) as bigint) as examined, cast(0 as bigint) as unfit, count(*) as \"distinct\", true as touched from v where value <> '-'")
+def date_preset_unique(spark, d):
+    """Days above 12 and a time of day leave one reading."""
+    return pr.date_preset(values_of(spark, d, DATE_CELLS))
+
+
+@query(f"with {_values_sql(OPEN_DATES)} select 'ambiguous' as kind, cast(null as varchar) as preset, 'mdy_slash,dmy_slash' as among, cast(sum(count) as bigint) as examined, cast(0 as bigint) as unfit, count(*) as \"distinct\", false as touched from v")
+def date_preset_ambiguous(spark, d):
+    return pr.date_preset(values_of(spark, d, OPEN_DATES))
+
+
+@query(f"with {_values_sql(EURO_CELLS)} select case when value like '%€' then '€' else '£' end as mark, cast(sum(count) as bigint) as \"values\" from v where value like '%€' or value like '£%' group by 1")
+def currency_marks(spark, d):
+    return pr.currency_scan(values_of(spark, d, EURO_CELLS))
+
+
+@query("select 'mixed' as kind, '£,€' as marks")
+def currency_decision(spark, d):
+    return pr.currency_decision(pr.currency_scan(values_of(spark, d, EURO_CELLS)))
+
+
+@query(f"""with {_values_sql(STATUS_CELLS)} select value, count, case value when 'En Tránsito' then 'in_transit' when 'In_Transit' then 'in_transit' when 'delivered' then 'delivered' when 'Đã giao' then 'delivered'
+  when 'CANCELED' then 'cancelled' when 'offen' then 'pending' end as target, value = 'on-hold' as ambiguous from v""")
+def status_words(spark, d):
+    return pr.status_map(values_of(spark, d, STATUS_CELLS))
+
+
+SHORT_SQL = "short as (select lower(code) as key, code as target, 'code' as \"by\" from locations where kind = 'warehouse' union all select lower(replace(code, 'WH-', '')), code, 'alias' from locations where kind = 'warehouse' union all select lower(name), code, 'name' from locations where kind = 'warehouse')"
+
+
+@query(f"with {st.LOCATIONS_SQL}, {SHORT_SQL}, {_values_sql(PLACE_CELLS)} select value, count, target, \"by\" from v left join short on lower(value) = key")
+def warehouse_words(spark, d):
+    return pr.warehouse_map(values_of(spark, d, PLACE_CELLS), st.locations(spark, d))
+
+
+@query(f"""with {st.LOCATIONS_SQL}, {SHORT_SQL}, {_values_sql(PLACE_CELLS)}, located as (select v.*, code, target from v left join places on upper(value) = place left join short on lower(value) = key)
+select cast(sum(count) as bigint) as rows, cast(sum(count) filter (code is not null or target is not null) as bigint) as recognized, cast(sum(count) filter (code is null and target is null) as bigint) as unmapped, count_if(code is null and target is null) as unmapped_values from located""")
+def location_summary(spark, d):
+    return pr.location_summary(pr.located_values(values_of(spark, d, PLACE_CELLS), st.locations(spark, d)))
+
+
+@query(f"""with {LINES_SQL}, cells as (select line, 'cost' as "column", trim({MONEY_CELLS}) as value from lines union all select line, 'day', trim({DATE_CELLS}) from lines union all select line, 'state', trim({STATUS_CELLS}) from lines),
+counted as (select "column", value, count(*) as n, min(line) as first, value not in ('', 'n/a', '-') as filled from cells group by 1, 2)
+select "column", cast(sum(n) as bigint) as rows, cast(sum(n) filter (filled) as bigint) as filled, count_if(filled) as "distinct", cast(coalesce(sum(n) filter (filled and "column" = 'day'), 0) as bigint) as dates, cast(0 as bigint) as iso_dates,
+  cast(coalesce(sum(n) filter (filled and "column" = 'cost'), 0) as bigint) as numbers, cast(coalesce(sum(n) filter (filled and "column" = 'cost' and value not like '$%'), 0) as bigint) as integers,
+  cast(coalesce(sum(n) filter (filled and "column" = 'state'), 0) as bigint) as texts, cast(coalesce(sum(n) filter (filled and regexp_full_match(value, '[A-Za-z0-9][A-Za-z0-9-]{{2,31}}')), 0) as bigint) as ids,
+  cast(coalesce(sum(n * length(value)) filter (filled), 0) as bigint) as characters, (array_agg(value order by n desc, first) filter (filled))[1] as top from counted group by 1""")
+def column_profile(spark, d):
+    cells = lines(spark, d).selectExpr("line", f"{MONEY_CELLS} as cost", f"{DATE_CELLS} as day", f"{STATUS_CELLS} as state")
+    return pr.column_profile(cells, ["cost", "day", "state"])
