@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import figures as fi
 from ..operators import listing as li
+from ..sources.store import json_lines
 from . import standins as st
 from .queries import BOTH, ISSUE_LIST, assessed, count_sql, fixed_sql, inventory, query, scaled, shipments
 
@@ -88,3 +89,9 @@ def import_inventory_impact(spark, d):
 @query(f"with {st.COSTS_SQL} select shipment_id, cast(is_delayed or {MISSING} or is_cost_anomaly or {ISSUE} as boolean) as flagged, ship_date from assessed order by flagged desc, ship_date desc, shipment_id")
 def shipments_attention_first(spark, d):
     return assessed(spark, d).withColumn("flagged", li.shipment_flag("any_issue")).select("shipment_id", "flagged", "ship_date").orderBy(F.desc("flagged"), F.desc("ship_date"), "shipment_id")
+
+
+@query(f"with {st.SHIPMENTS_SQL} select cast(to_json({{'status': status, 'shipments': count(*), 'latest': strftime(max(actual_delivery), '%Y-%m-%d')}}) as varchar) as value from shipments group by status")
+def snapshot_json(spark, d):
+    rows = shipments(spark, d).groupBy("status").agg(F.count("*").alias("shipments"), F.max("actual_delivery").alias("latest"))
+    return json_lines(rows)

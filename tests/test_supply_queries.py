@@ -2,12 +2,15 @@
 
 import pytest
 
-from quaywork.plans import queries as supply
+from quaywork.plans import all_queries as supply
 from tests.oracle import compare, database
 
 SMALL = "/root/testdata/sf0.001"
 NAMES = """inventory_enriched shipments_enriched cost_assessment data_issue_counts warehouse_utilization kpi_summary supply_metrics
-shipping_cost_by_month route_summary alerts_all transfer_plan action_queue search_shipments sort_nulls_last page_2""".split()
+shipping_cost_by_month route_summary alerts_all alert_page_3 transfer_plan action_queue billing_candidates search_shipments sort_nulls_last page_2
+import_inventory_issues import_shipment_issues import_first_issues import_refused import_accepted canonical_csv number_preset_unique
+number_preset_marked date_preset_ambiguous currency_decision status_words location_summary column_profile shipment_figures lane_labels
+transit_dots import_impact snapshot_json""".split()
 
 
 @pytest.fixture(scope="module")
