@@ -36,7 +36,7 @@ SLOTS = 1 << 20
 #: Most bits of a filter that keeps rows which nothing can match from being made; fuller filters let more through.
 MOST_BITS = 1 << 27
 #: 64-bit words of a set's parity sketch.
-PARITY = 4
+PARITY = 16
 #: Sets above this size, of which parities tell little, also get a sketch of so many counts.
 COUNTED_ABOVE, COUNTS = 500, 512
 #: Members of a list that one task compares with those of other components.
@@ -301,7 +301,7 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     else:
         parts = materialise(connected_components(links))
         # what the heads left apart: members of one list in different components
-        at = ids.drop("n").join(parts.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("vertex", F.coalesce("component", "doc_id").alias("component"), *SKETCH)
+        at = ids.select("vertex", "doc_id").join(parts.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("vertex", F.coalesce("component", "doc_id").alias("component"))
         listed = heavy.select("key", "vertex", "n", "pos").unionByName(heavy.select("key", F.col("head").alias("vertex"), F.col("head_n").alias("n"), F.col("head_pos").alias("pos")).distinct())
         # the smaller of a pair has the element early: without such a member a list has nothing to compare
         early = listed.withColumn("early", _needed("n", "n", percent) <= F.expr("n - pos"))
@@ -309,7 +309,8 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         placed = early.join(useful, "key", "left_semi").drop("early").join(at, "vertex")
         kinds = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
         apart = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("total"), F.max_by("component", F.struct("n", "component")).alias("most")).where("kinds > 1")
-        open_lists = materialise(placed.join(apart.drop("kinds"), "key").withColumn("blocks", F.ceil(F.col("total") / LIST_BLOCK).cast("int")))
+        open_lists = placed.join(apart.drop("kinds"), "key").withColumn("blocks", F.ceil(F.col("total") / LIST_BLOCK).cast("int"))
+        open_lists = materialise(open_lists.join(ids.select("vertex", *SKETCH), "vertex"))  # only now, for sketches are wide
         # members of a list's largest component need no look at one another: the others are compared with all, block by block
         p = open_lists.where("component <> most").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("p")
         q = open_lists.withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")).alias("q")
