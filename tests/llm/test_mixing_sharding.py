@@ -87,3 +87,17 @@ def test_shards_are_contiguous_and_even(spark):
     assert all(abs(sum(r.size for r in v) - mean) <= max(r.size for r in got) for v in by.values())
     assert shard(docs.limit(0)).collect() == []
     assert shard(docs.limit(1)).collect()[0].slot == 0
+
+
+def test_one_very_long_text_spans_shards(spark):
+    rows = [(i, "ab") for i in range(50)] + [(25, "x" * 3_000_000)]
+    got = shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == len(rows) and max(r.size for r in got) == 3_000_001
+    assert [r.shard for r in got if r.size > 3] == [7] or [r.shard for r in got if r.size > 3] == [8]
+    assert {r.shard for r in got if r.size == 3} == {0, 15}  # what stands before and after it
+
+
+def test_mix_takes_very_long_texts_whole(spark):
+    rows = [(i, "w " * 20, "a") for i in range(30)] + [(100, "w " * 400_000, "b"), (101, "w", None)]
+    got = {r.doc_id: r for r in mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), [5, 2, 1]).collect()}
+    assert got[100].size == 400_000 and got[100].taken in (400_000, 800_000) and got[5].taken == 40
