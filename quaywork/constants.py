@@ -18,8 +18,6 @@ LANE_WATCH_SHARE = 0.10
 ON_TIME_TARGET = 0.90
 ON_TIME_FLOOR = 0.80
 EARTH_RADIUS_MILES = 3958.8
-MAX_IMPORT_ROWS = 20_000
-MAX_IMPORT_COLUMNS = 50
 MAX_ISSUES_SHOWN = 500
 PAGE_SIZES = (10, 25, 50, 100)
 DEFAULT_PAGE_SIZE = 25

@@ -18,14 +18,6 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def decimal_cents(text: Column) -> Column:
-    """Cents of a plain decimal with at most two places, without floating point; null for anything else."""
-    whole = F.regexp_extract(text, r"^-?(\d{1,15})", 1)
-    part = F.rpad(F.regexp_extract(text, r"\.(\d{1,2})$", 1), 2, "0")
-    cents = F.concat(whole, part).cast("long")
-    return F.when(text.rlike(r"^-?\d{1,15}(\.\d{1,2})?$"), F.when(F.startswith(text, F.lit("-")), -cents).otherwise(cents))
-
-
 def fixed(x: Column, places: int) -> Column:
     """``x`` with so many places, by the exact value of the double, exact halves away from zero; no group marks."""
     # format_number rounds exact halves to even; only numbers with so short a binary fraction are exact halves

@@ -52,11 +52,6 @@ def has_control(text: Column) -> Column:
     return text.rlike(r"[\x00-\x1f\x7f]")
 
 
-def code16_length(text: Column) -> Column:
-    """Length in UTF-16 units, as the limits count it."""
-    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
-
-
 def counted(n: Column, one: str, many: str) -> Column:
     """``1 day``, ``1,200 days``."""
     return F.concat(F.format_number(n, 0), F.lit(" "), F.when(n == 1, one).otherwise(many))
