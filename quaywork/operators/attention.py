@@ -101,18 +101,18 @@ def _worst_first() -> list[Column]:
     return [F.desc("cents"), F.when(F.col("tone") == "critical", 0).otherwise(1), F.asc_nulls_last("days_of_supply"), F.desc("shipments"), natural_key(F.col("sort_key")), F.col("sort_key")]
 
 
-def action_queue(inventory: DataFrame, assessed: DataFrame, locations: DataFrame) -> DataFrame:
+def action_queue(inventory: DataFrame, shipments: DataFrame, assessed: DataFrame, locations: DataFrame) -> DataFrame:
     """At most five rows (rank, key, tone, what, damage, action): money rows by money, at most three of stock while others
     are left; then items out of stock without usage; the worst late carrier last.
 
-    Each part is cut to a few rows before the parts are put together, so ranking them in one place is free.
+    ``shipments`` are enriched, ``assessed`` have costs too. Each part is cut to a few rows before the parts are put together, so ranking them in one place is free.
     """
     plan = transfer_plan(inventory, locations)
     columns = ["key", "tone", "cents", "days_of_supply", "shipments", "sort_key", "what", "damage", "action"]
     everyone = Window.orderBy(*_worst_first())
     stock = stock_candidates(plan).orderBy(*_worst_first()).limit(QUEUE_STOCK_ROWS + QUEUE_ROWS).withColumn("n", F.row_number().over(everyone))
     billing = billing_candidates(carrier_overbilling(assessed)).orderBy(*_worst_first()).limit(QUEUE_ROWS)
-    late = late_row(late_carriers(assessed))
+    late = late_row(late_carriers(shipments))
     room = late.groupBy().agg((F.lit(QUEUE_ROWS) - F.least(F.count("*"), F.lit(1))).alias("room"))
     money = stock.where(F.col("n") <= QUEUE_STOCK_ROWS).select(*columns).unionByName(billing.select(*columns)).withColumn("n", F.row_number().over(everyone)).withColumn("part", F.lit(0))
     idle = no_usage_rows(plan).orderBy(natural_key(F.col("sort_key")), "sort_key").limit(QUEUE_ROWS).withColumns({"cents": F.lit(None).cast("long"), "days_of_supply": F.lit(None).cast("double"), "shipments": F.lit(None).cast("long")})

@@ -123,7 +123,7 @@ def peer_statistics(counted: DataFrame, by: list[str], name: str) -> DataFrame:
     a lane with a third of all rows is as many rows as it has different costs (in cents, at most 100,000,000), which a
     task reads in order from disk; both medians are read off running counts over those.
     """
-    counted = counted.groupBy(*by, "v").agg(F.sum("c").alias("c"))
+    counted = counted.repartition(*by).groupBy(*by, "v").agg(F.sum("c").alias("c"))  # one exchange for all that follows
     everyone = Window.partitionBy(*by)
 
     def with_median(rows: DataFrame, of: str, out: str) -> DataFrame:
@@ -133,7 +133,7 @@ def peer_statistics(counted: DataFrame, by: list[str], name: str) -> DataFrame:
         hit = lambda at: F.min(F.when(F.col("upto") >= at, F.col(of))).over(everyone)
         return ranked.withColumn(out, (hit(low) + hit(high)) / 2.0)
 
-    ranked = with_median(counted.withColumn("peers", F.sum("c").over(everyone)).where(F.col("peers") >= MIN_PEERS), "v", "mid")
+    ranked = with_median(counted.withColumn("peers", F.sum("c").over(everyone)), "v", "mid")
     ranked = with_median(ranked.withColumn("apart", F.abs(F.col("v") - F.col("mid"))), "apart", "mad")
     out = ranked.groupBy(*by).agg(F.first("peers").alias("peers"), F.first("mid").alias("mid"), F.first("mad").alias("mad"), (F.sum(F.col("apart") * F.col("c")) / F.sum("c")).alias("mean_ad"))
     return out.select(*by, *[F.col(c).alias(f"{name}_{c}") for c in ("peers", "mid", "mad", "mean_ad")])
@@ -177,16 +177,17 @@ def assess_costs(shipments: DataFrame) -> DataFrame:
     priced = (F.col("status") != "cancelled") & (F.col("shipping_cost_cents") > 0)
     far = F.col("distance_miles") >= MIN_MILES
     per_mile = cost / F.col("distance_miles")
-    # all three statistics come from one pre-aggregate of the rows
+    # all three statistics come from one pre-aggregate of the rows, which is why nothing is filtered after it
     costs = shipments.where(priced).groupBy("route_key", "carrier", "shipping_cost_cents", "distance_miles").agg(F.count("*").alias("c"))
     by_cost = costs.select("route_key", "carrier", cost.alias("v"), "c")
     close = peer_statistics(by_cost, ["route_key", "carrier"], "rc")
     route = peer_statistics(by_cost, ["route_key"], "r")
-    # only rows without either group need the statistics of all
-    everyone = pool_statistics(costs.where(far).groupBy(per_mile.alias("v")).agg(F.sum("c").alias("c"))).withColumn("all", F.lit(1))
-    lanes = by_cost.select("route_key", "carrier").distinct().join(close, ["route_key", "carrier"], "left").join(route, ["route_key"], "left")
+    # only rows without either group need the statistics of all; near ones count as none
+    pool = costs.select(F.when(far, per_mile).otherwise(0.0).alias("v"), F.when(far, F.col("c")).otherwise(0).alias("c"))
+    everyone = pool_statistics(pool.groupBy("v").agg(F.sum("c").alias("c"))).withColumn("all", F.lit(1))
+    lanes = close.join(route, "route_key", "left")
     out = shipments.join(lanes, ["route_key", "carrier"], "left").withColumn("all", F.when(far, 1)).join(F.broadcast(everyone), ["all"], "left")
-    method = F.when(~priced, "none").when(F.col("rc_peers").isNotNull(), "route_carrier").when(F.col("r_peers").isNotNull(), "route").when(F.col("m_peers").isNotNull(), "per_mile").otherwise("none")
+    method = F.when(~priced, "none").when(F.col("rc_peers") >= MIN_PEERS, "route_carrier").when(F.col("r_peers") >= MIN_PEERS, "route").when(F.col("m_peers").isNotNull(), "per_mile").otherwise("none")
     out = out.withColumn("cost_method", method)
 
     def of(column: str) -> Column:

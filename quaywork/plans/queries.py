@@ -496,7 +496,7 @@ union all select cast((select count(*) from shown) + 1 as integer), 'late:' || c
     else carrier || ' has ' || {count_sql('shipments')} || ' shipments ' || case when min_days = max_days then {count_sql('max_days')} else {count_sql('min_days')} || ' to ' || {count_sql('max_days')} end || ' days late' end,
   null, case shipments when 1 then 'Ask for a new date' else 'Ask for new dates' end from late""")
 def action_queue(spark, d):
-    return at.action_queue(inventory(spark, d), assessed(spark, d), st.locations(spark, d)).select("rank", "key", "tone", "cents", "what", "damage", "action")
+    return at.action_queue(inventory(spark, d), shipments(spark, d), assessed(spark, d), st.locations(spark, d)).select("rank", "key", "tone", "cents", "what", "damage", "action")
 
 
 @query(f"with {st.COSTS_SQL} select shipment_id, status from assessed where (contains(lower(origin), 'na') or contains(lower(destination), 'na') or contains(lower(shipment_id), 'na') or contains(lower(carrier), 'na') or contains(lower(route_label), 'na')) and (contains(lower(origin), 'carrier') or contains(lower(destination), 'carrier') or contains(lower(shipment_id), 'carrier') or contains(lower(carrier), 'carrier') or contains(lower(route_label), 'carrier'))")
