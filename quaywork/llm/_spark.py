@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 SCRATCH_PREFIX = "quaywork-llm-"
 #: Most bytes of the batches that tasks hand to Python while a scratch table is written; texts may be long.
-BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "2m"
 #: Scratch tables that were written and not removed yet.
 _written: list[str] = []
 

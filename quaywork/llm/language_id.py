@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import pick
-from ._text import slices
+from ._text import give_back, slices
 
 ORDER = 4
 #: Expected number of labelled documents of each language that the model is fitted on, and of those that calibrate it.
@@ -261,5 +261,6 @@ def identify(docs: DataFrame, model: CharacterModels, keep: tuple[str, ...] = ("
             for part in slices(batch, most=SLICE):
                 p = model.predict(part.column("text"))
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], pa.array(p["lang"].tolist(), pa.string()), pa.array(p["score"]), pa.array(p["bits"]), pa.array(p["rejected"])], [*keep, "lang_pred", "score", "bits", "rejected"])
+        give_back()
 
     return source.mapInArrow(run, f"{kinds}, lang_pred string, score double, bits double, rejected boolean")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import materialise, pick
-from ._text import chain, mix, slices, word_hashes, words
+from ._text import chain, give_back, mix, slices, word_hashes, words
 from .components import connected_components
 
 #: Counters of the frequency sketch that orders elements from rare to common. A hint: any order gives the same result.
@@ -138,6 +138,7 @@ def _sketch(docs: DataFrame, width: int) -> DataFrame:
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
                 rows = len(n)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(vertex, dtype=np.uint64).view(np.int64)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64()), pa.array([class_counts(s) for s in sets], pa.list_(pa.int16())), *[pa.array(c) for c in np.array([parity(s) for s in sets]).reshape(rows, PARITY).T]], names)
+        give_back()
         # a slot that stands out nowhere is a rare one
         slot = np.flatnonzero(counts > 2 * counts.mean() + 2)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(slot), pa.int64()), pa.nulls(len(slot), pa.int64()), pa.nulls(len(slot), pa.int64()), pa.array(slot.astype(np.int32)), pa.array(counts[slot]), pa.nulls(len(slot), pa.list_(pa.int16())), *[pa.nulls(len(slot), pa.int64())] * PARITY], names)
@@ -203,6 +204,7 @@ def _entries(docs: DataFrame, width: int, percent: int, boundary: int, common: n
                 if rows:
                     columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names)
+        give_back()
 
     return docs.mapInArrow(run, "key long, rank long" + ", light boolean, vertex long, n int, pos int" * (wanted is not None))
 
@@ -220,6 +222,7 @@ def _sets_of(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 values = pa.array(np.concatenate(sets).view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "shingles"])
+        give_back()
 
     return docs.select("doc_id", "text", hashed).mapInArrow(run, "doc_id long, shingles array<long>")
 
