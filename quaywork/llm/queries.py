@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import crc_fold, pick
+from .audit import audit_filters
 from .bpe import bpe_round_trip
 from .chat import chat_digests, format_chats
+from .decontamination import find_leaks
 from .embedding_dedup import near_vectors
 from .fingerprints import compare_with_edits
 from .language_id import identify, train
 from .lm_scoring import score_texts
+from .merkle import tampered_proofs
 from .mixing import mix, words_of
 from .ngram_join import ngram_join
 from .sharding import shard
@@ -204,6 +207,134 @@ select s.doc_id, cast(len(grams) as bigint) as n_shingles, coalesce(p.component_
 """
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and whether it verifies after some were tampered with."""
+    return tampered_proofs(_table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 as in OP7_SQL; nodes of all levels, then each leaf's run on each level, then the fold of each leaf by levels.
+OP11_SQL = """
+with recursive t as (
+  select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as crc
+), d as (
+  select doc_id, source, lang, n_chars, text, case when text is not null then replace(text, chr(10), '') end as bare,
+    list_transform(regexp_extract_all(hex(encode(cast(doc_id as varchar))), '..'), lambda h: cast('0x' || h as bigint)) as bytes from documents
+), f as (
+  select doc_id, source, coalesce(octet_length(encode(cast(doc_id as varchar))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(cast(n_chars as varchar))) || ':' || n_chars, '-') as front, text,
+    case when xor(4294967295, list_reduce(bytes, lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295)) % 2 = 0 then bare else text end as other from d, t
+), h as (
+  select doc_id, source, sha256(front || coalesce(octet_length(encode(text)) || ':' || text, '-')) as leaf,
+    sha256(front || coalesce(octet_length(encode(other)) || ':' || other, '-')) as tampered from f
+), leaves as (
+  select *, dense_rank() over (order by source nulls first) as tree, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by source) as n from h
+), nodes(level, tree, i, n, digest) as (
+  select 0, tree, i, n, leaf from leaves
+  union all
+  select level + 1, tree, i // 3, (min(n) + 2) // 3, sha256(string_agg(digest, '' order by i)) from nodes where n > 1 group by level, tree, i // 3
+), tops as (
+  select tree, level as height, digest as subroot, tree - 1 as i, count(*) over () as n from nodes where n = 1
+), upper(level, i, n, digest) as (
+  select 0, i, n, subroot from tops
+  union all
+  select level + 1, i // 3, (min(n) + 2) // 3, sha256(string_agg(digest, '' order by i)) from upper where n > 1 group by level, i // 3
+), top as (
+  select level as height, digest as root from upper where n = 1
+), whole as (
+  select level, tree, i // 3 as run, i, digest from nodes where n > 1
+), runs as (
+  select l.tree, l.i as leaf_i, w.level, coalesce(string_agg(w.digest, '' order by w.i) filter (w.i < l.i // power(3, w.level)::bigint), '') as before,
+    coalesce(string_agg(w.digest, '' order by w.i) filter (w.i > l.i // power(3, w.level)::bigint), '') as after
+  from leaves l join whole w on w.tree = l.tree and w.run = l.i // power(3, w.level + 1)::bigint group by all
+), high as (
+  select s.tree, s.height + w.level as level, coalesce(string_agg(w.digest, '' order by w.i) filter (w.i < s.i // power(3, w.level)::bigint), '') as before,
+    coalesce(string_agg(w.digest, '' order by w.i) filter (w.i > s.i // power(3, w.level)::bigint), '') as after
+  from tops s join (select * from upper where n > 1) w on w.i // 3 = s.i // power(3, w.level + 1)::bigint group by s.tree, s.height, s.i, w.level
+), steps as (
+  select tree, leaf_i, level, before, after from runs union all select h.tree, l.i, h.level, h.before, h.after from high h join leaves l on h.tree = l.tree
+), fold(tree, i, level, digest) as (
+  select tree, i, 0, tampered from leaves
+  union all
+  select f.tree, f.i, f.level + 1, sha256(s.before || f.digest || s.after) from fold f join steps s on s.tree = f.tree and s.leaf_i = f.i and s.level = f.level
+), ended as (
+  select tree, i, arg_max(digest, level) as folded_root from fold group by tree, i
+), proofs as (
+  select tree, leaf_i, sha256(string_agg(before || after, '' order by level)) as proof_sha256 from steps group by tree, leaf_i
+)
+select l.doc_id, l.leaf, s.subroot, top.root, coalesce(p.proof_sha256, sha256('')) as proof_sha256, e.folded_root, e.folded_root = top.root as verified
+from leaves l join tops s on s.tree = l.tree cross join top join ended e on e.tree = l.tree and e.i = l.i left join proofs p on p.tree = l.tree and p.leaf_i = l.i
+"""
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What filters A to E remove from the documents of each language in all 120 orders, and their Shapley shares."""
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+#: Every order is applied step by step to every document.
+OP12_SQL = """
+with recursive d as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') as words from documents
+), firsts as (
+  select text, min(doc_id) as first from d group by text
+), l as (
+  select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels where doc_id is not null group by doc_id
+), f as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, map {
+    'A': len(words) < 200, 'B': 100 * len(list_distinct(words)) < 50 * len(words),
+    'C': 100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * len(text), 'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(d.doc_id > firsts.first, false)} as fails
+  from d join firsts using (text) left join l on l.doc_id = d.doc_id
+), masks as (
+  select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by part, fails
+), orders(filter_order) as (
+  select '' union all select filter_order || c from orders, (values ('A'), ('B'), ('C'), ('D'), ('E')) v(c) where len(filter_order) < 5 and not contains(filter_order, c)
+), told as (
+  select *, list_filter(range(1, 6), lambda k: fails[filter_order[k]]) as failing from masks, orders where len(filter_order) = 5
+), steps as (
+  select part, filter_order, step, filter_order[step] as name,
+    sum(n) filter (len(failing) = 0 or failing[1] > step) as kept, sum(n) filter (failing[1] = step) as removed,
+    sum(n) filter (list_contains(failing, step) and failing[1] < step) as redundant, sum(n) filter (len(failing) = 1 and failing[1] = step) as unique_fails,
+    sum(good) filter (failing[1] = step) as good_lost, sum(toxic) filter (failing[1] = step) as toxic_lost
+  from told, range(1, 6) r(step) group by all
+)
+select part, filter_order, cast(step as integer) as step, cast(coalesce(kept, 0) as bigint) as kept, cast(coalesce(removed, 0) as bigint) as removed,
+  cast(coalesce(redundant, 0) as bigint) as redundant, cast(coalesce(unique_fails, 0) as bigint) as unique_fails, cast(coalesce(good_lost, 0) as bigint) as good_lost,
+  cast(coalesce(toxic_lost, 0) as bigint) as toxic_lost, cast(sum(coalesce(removed, 0)) over (partition by part, name) as bigint) as shapley
+from steps
+"""
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in windows of ten words of benchmark items, and the items hit."""
+    found = find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    n_hit = F.expr("aggregate(spans, 0L, (sum, s) -> sum + s.end - s.start)")
+    told = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    return told.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+OP13_SQL = """
+with d as (
+  select row_number() over () as row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents
+), b as (
+  select coalesce(cast(item_id as varchar), '') as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from benchmark
+), windows as (
+  select distinct item, least(len(words), 10) as n, unnest(list_transform(range(1, greatest(len(words) - 8, 2)), lambda i: array_to_string(words[i : i + 9], ' '))) as gram from b where len(words) > 0
+), grams as (
+  select row, s.n, unnest(range(1, len(words) - s.n + 2)) as i, unnest(list_transform(range(1, len(words) - s.n + 2), lambda i: array_to_string(words[i : i + s.n - 1], ' '))) as gram
+  from d, (select distinct n from windows) s where len(words) >= s.n
+), hits as (
+  select g.row, g.i, g.n, w.item from grams g join windows w on w.n = g.n and w.gram = g.gram
+), covered as (
+  select row, count(*) as n_hit from (select distinct row, unnest(range(i, i + n)) as at from hits) group by row
+), named as (
+  select row, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct row, item from hits) group by row
+)
+select doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (row) left join named using (row)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
@@ -216,6 +347,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_chat_format": op9_chat_format,
         "op10_ngram_join": op10_ngram_join,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_decontamination": op13_decontamination,
     }
 
 
@@ -226,4 +360,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_sharding": OP7_SQL,
         "op9_chat_format": OP9_SQL,
         "op10_ngram_join": OP10_SQL,
+        "op11_merkle_manifest": OP11_SQL,
+        "op12_filter_audit": OP12_SQL,
+        "op13_decontamination": OP13_SQL,
     }
