@@ -75,8 +75,8 @@ def header_problems(header: Sequence[str], columns: Sequence[Spec]) -> list[tupl
     return [("MISSING_COLUMNS", f"Missing required column(s): {', '.join(missing)}. Found columns: {', '.join(names) or '(none)'}.")] if missing else []
 
 
-def checked(raw: DataFrame, header: Sequence[str], columns: Sequence[Spec], key: Sequence[str], duplicate: str) -> DataFrame:
-    """line, ``row`` (a struct of parsed values) and ``problems`` (an array of column_order, column, code, message) of ``raw``.
+def checked(raw: DataFrame, header: Sequence[str], columns: Sequence[Spec], key: Sequence[str], duplicate: str, carry: Sequence[str] = ()) -> DataFrame:
+    """line, ``carry``, ``row`` (a struct of parsed values) and ``problems`` (an array of column_order, column, code, message) of ``raw``.
 
     ``raw`` has line (long, different in every row) and cells (array of strings) below the header. A row with too few
     cells, or with text beyond the header, has that one problem. A key that stood on an earlier line is a problem of its
@@ -96,7 +96,7 @@ def checked(raw: DataFrame, header: Sequence[str], columns: Sequence[Spec], key:
         return F.struct(F.lit(order).alias("column_order"), column.alias("column"), code.alias("code"), message.alias("message"))
 
     count = F.struct(F.lit("FIELD_COUNT").alias("code"), F.format_string(f"Expected {width} fields but found %d.", F.size(cells)).alias("message"))
-    out = raw.select("line", "cells", ragged.alias("ragged"), *[v.alias(f"{n}_value") for n, (v, _) in parsed.items()], *[p.alias(f"{n}_problem") for n, (_, p) in parsed.items()])
+    out = raw.select("line", *carry, "cells", ragged.alias("ragged"), *[v.alias(f"{n}_value") for n, (v, _) in parsed.items()], *[p.alias(f"{n}_problem") for n, (_, p) in parsed.items()])
     whole = ~F.col("ragged")
     readable = whole
     for k in key:
@@ -110,7 +110,7 @@ def checked(raw: DataFrame, header: Sequence[str], columns: Sequence[Spec], key:
     again = F.when(F.col("line") > F.col("first_line"), of_row(first, F.lit(key[0]), F.lit("DUPLICATE_ID"), F.concat(F.lit("Duplicate "), F.col("key"), F.format_string(" (first seen on line %d).", F.col("first_line")))))
     problems = F.when(whole, F.array_compact(F.array(*own, again))).otherwise(F.array(of_row(-1, F.lit(None).cast("string"), count["code"], count["message"])))
     values = [F.col(f"{c.name}_value").cast(c.kind) if c.kind else F.col(f"{c.name}_value") for c in columns]
-    return out.select("line", F.struct(*[v.alias(c.out or c.name) for v, c in zip(values, columns, strict=True)]).alias("row"), problems.alias("problems"))
+    return out.select("line", *carry, F.struct(*[v.alias(c.out or c.name) for v, c in zip(values, columns, strict=True)]).alias("row"), problems.alias("problems"))
 
 
 def check_inventory(raw: DataFrame, header: Sequence[str], warehouses: list[str]) -> DataFrame:

@@ -46,7 +46,7 @@ def sample(seed):
     text = lambda k: "".join(rnd.choice(words) + rnd.choice([" ", ", ", "\n", "--", " ", "."]) for _ in range(k))
     items = [(i, text(rnd.choice([0, 1, 2, 3, 4, 6, 9]))) for i in range(30)] + [(3, text(5)), (None, text(6)), (70, None), (71, ""), (72, "..."), (73, "Rare words stand here only once"), (74, "rare words stand here only once")]
     docs = [(i, text(rnd.randrange(30))) for i in range(60)] + [(60, None), (61, ""), (62, "!!"), (None, text(9)), (None, None), (63, "x RARE words, stand here-only once x rare words stand"), (64, "rare words stand here only")]
-    docs += docs[:4] + [(65, "y" * 3_000_000), (66, "the quick " * 150_000 + "rare words stand here only once")]
+    docs += docs[:4] + [(65, "y" * 2_000_000), (66, "the quick " * 30_000 + "rare words stand here only once")]
     return docs, items
 
 
