@@ -131,9 +131,10 @@ def cooked(raw: DataFrame, how: Plan, locations: DataFrame | None = None, choice
             return F.coalesce("warehouse_choice", "warehouse_known", text)
         return F.when((ps.blank_kind(text) == "placeholder") & F.lit(optional), "").otherwise(text)
 
-    both = F.struct(F.array(*[cell(c.name) for c in how.columns]).alias("canonical"), F.array(*[F.col(f"raw_{c.name}") for c in how.columns]).alias("raws"))
+    done = rows.select("line", "file", "ragged", *[cell(c.name).alias(f"cell_{c.name}") for c in how.columns], *[f"raw_{c.name}" for c in how.columns])
+    both = F.struct(*[F.array(*[F.col(f"{kind}_{c.name}") for c in how.columns]).alias(name) for kind, name in (("cell", "canonical"), ("raw", "raws"))])
     # a generator of one row keeps the optimizer from writing a cell's whole expression wherever the cell is used
-    made = rows.select("line", "file", "ragged", F.inline(F.array(both)))
+    made = done.select("line", "file", "ragged", F.inline(F.array(both)))
     filled = [F.get("canonical", F.lit(i)) != "" for i, c in enumerate(how.columns) if c.name in how.assignment]
     some = filled[0] if filled else F.lit(False)
     for f in filled[1:]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import canonical as ca
 from ..operators import flatten as fl
 from ..operators import importing as im
+from ..operators import spelling as sg
 from ..operators import structure as sr
 from . import import_queries as iq
 from . import standins as st
@@ -233,3 +234,24 @@ union all select line, concat_ws(',', lower(sku), case when product_name like '%
 def canonical_file(spark, d):
     """The canonical CSV, header and all columns, money in dollars, beside the source line of each row."""
     return ca.canonical_lines(cooked_stock(spark, d), stock_plan())
+
+
+# ---- words spelled alike -----------------------------------------------------------------------------------------------------
+
+WORD_LIST = "explode(regexp_extract_all(lower(text), '[a-zà-ÿ]+', 0))"
+WORDS_SQL = "w as (select distinct unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) as w from benchmark)"
+#: Row by row of the table of distances, for pairs that an unrestricted distance lets through; that one counts bytes, two a letter at most.
+OSA_SQL = """pairs as (select a.w as a, b.w as b, case when least(len(a.w), len(b.w)) >= 9 then 2 else 1 end as most from w a join w b on a.w < b.w and abs(len(a.w) - len(b.w)) <= 2 and least(len(a.w), len(b.w)) >= 5
+  where damerau_levenshtein(a.w, b.w) <= case when least(len(a.w), len(b.w)) >= 9 then 4 else 2 end),
+dp(a, b, most, i, before, row) as (
+  select a, b, most, cast(0 as bigint), range(0, len(b) + 1), range(0, len(b) + 1) from pairs
+  union all
+  select a, b, most, i + 1, row, list_reduce(list_transform(range(1, len(b) + 1), lambda j: [j]), lambda cur, j: list_append(cur, least(row[j[1] + 1] + 1, cur[-1] + 1, row[j[1]] + case when a[i + 1] = b[j[1]] then 0 else 1 end,
+    case when i > 0 and j[1] > 1 and a[i + 1] = b[j[1] - 1] and a[i] = b[j[1]] then before[j[1] - 1] + 1 else 99 end)), [i + 1]) from dp where i < len(a))"""
+
+
+@query(f"with recursive {WORDS_SQL}, {OSA_SQL} select a as word, b as other, cast(row[-1] as integer) as distance from dp where i = len(a) and row[-1] <= most")
+def spelling_pairs(spark, d):
+    """Words of the benchmark's texts that one or two slips of the pen make of each other."""
+    words = st.read(spark, d, "benchmark").selectExpr(f"{WORD_LIST} as word")
+    return sg.spelled_alike(words)
