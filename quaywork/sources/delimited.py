@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
+from .encoding import settled_encoding, text_lines
 
 #: Most blocks whose starts (some 60 bytes each) are broadcast; beyond it they are joined by their key.
 MOST_BROADCAST = 1 << 20
@@ -66,11 +67,6 @@ def states(opens: np.ndarray, stays: np.ndarray, inside: bool) -> np.ndarray:
     return base ^ (since % 2 == 1)
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, block (its first byte) and value of every line, in order inside a block."""
-    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r\\z", "").alias("value"))
-
-
 def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bool, pa.RecordBatch]]:
     """(key, whether the block goes on from the piece before, rows) of the pieces of blocks that batches hold."""
     key = None
@@ -174,18 +170,19 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield left(held)
 
 
-def read_records(spark: SparkSession, path: str, delimiter: str = ",", strict: bool = False) -> DataFrame:
+def read_records(spark: SparkSession, path: str, delimiter: str = ",", strict: bool = False, encoding: str | None = "utf-8") -> DataFrame:
     """file, line, cells of every record of delimited text with text in it; header records are not told apart.
 
     A cell that begins with a quote lasts to the closing one; ``""`` in it is a quote, line breaks in it stay (as ``\\n``).
     Any other quote is a character of its cell, as is what follows a closing quote, but with ``strict`` a file that has such is
     refused. So is a file whose last quote is never closed. Lines end with LF, CRLF or CR; a byte order mark goes. A record has
-    to fit a task, a file or block hasn't. Empty files have no records.
+    to fit a task, a file or block hasn't (but for UTF-16, see ``text_lines``). Empty files have no records. Without an
+    ``encoding`` (None) it is detected, and files that leave a doubt are refused.
     """
     grammar = Grammar(delimiter)
     maps = lambda rows: rows.withColumns({"opens": F.col("value").rlike(grammar.opens), "stays": F.col("value").rlike(grammar.stays)})
     tidy = {"tidy_outside": F.col("value").rlike(grammar.tidy_outside), "tidy_inside": F.col("value").rlike(grammar.tidy_inside)} if strict else {"tidy_outside": F.lit(True), "tidy_inside": F.lit(True)}
-    raw = _lines(spark, path)
+    raw = text_lines(spark, path, encoding or settled_encoding(spark, path))
     starts = _starts(maps(raw).withColumns(tidy).drop("value").mapInArrow(_totals, TOTALS))
     known = starts.limit(MOST_BROADCAST + 1).toArrow()
     small = known.num_rows <= MOST_BROADCAST
