@@ -36,6 +36,22 @@ def natural_key(text: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(number(p)).cast("string"), 4, "0"), number(p))).otherwise(p)), "")
 
 
+#: Letters by their base form, whatever case and accents; punctuation before symbols, digits and letters.
+COLLATION = "en_CI_AI"
+
+
+def collated(text: Column) -> Column:
+    """A sort key in a collator's order for English: base letters only, runs of ASCII digits by their value.
+
+    A run of digits is written as the length of its value and the value, so comparing digit by digit compares numbers. Texts that differ
+    in case or accents alone tie.
+    """
+    parts = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), F.lit(1))
+    number = lambda p: F.ltrim(p, F.lit("0"))
+    valued = F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(number(p)).cast("string"), 4, "0"), number(p))).otherwise(p))
+    return F.collate(F.array_join(valued, ""), COLLATION)
+
+
 def matches_search(query: str, *columns: str) -> Column:
     """Every word of ``query`` is in some column, whatever its case; nulls hold nothing. An empty query matches all."""
     hit = F.lit(True)

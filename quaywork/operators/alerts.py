@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import ALERT_TYPES, COST_CRITICAL_MULTIPLE, DELAY_CRITICAL_DAYS, RECENT_LATE_DAYS, SEVERITIES
 from ..functions.dates import day_text
 from ..functions.numbers import fixed, money_text
-from ..functions.text import natural_key, status_label
+from ..functions.text import collated, natural_key, status_label
 
 
 def _alert(when: Column, kind: str, key: Column, severity: Column | str, title: Column, message: Column, entity: str, entity_id: Column, label: Column) -> Column:
@@ -101,7 +101,8 @@ def order_key() -> Column:
 
 def in_order(alerts: DataFrame) -> DataFrame:
     """The alerts in the order of the list; sorts all of them, so what isn't shown is better left to ``order_key``."""
-    return alerts.orderBy(order_key(), "alert_id")
+    place = lambda column, names: F.array_position(F.array(*[F.lit(n) for n in names]), F.col(column))
+    return alerts.orderBy(place("severity", SEVERITIES), place("type", ALERT_TYPES), collated(F.col("entity.id")), "alert_id")
 
 
 def attention_kind() -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import ATTENTION_KINDS, COST_CRITICAL_MULTIPLE, DELAY_CRITICAL_DAYS, QUEUE_ROWS, QUEUE_STOCK_ROWS
 from ..functions.numbers import compact_money
-from ..functions.text import counted, natural_key
+from ..functions.text import collated, counted
 from .inventory import short_units
 
 
@@ -33,7 +33,7 @@ def transfer_plan(inventory: DataFrame, locations: DataFrame) -> DataFrame:
     short = short.withColumn("short_cents", F.col("short_units") * F.col("unit_cost_cents")).withColumn("need", F.coalesce("short_units", F.col("reorder_point") - F.col("quantity")))
     # a short item can give nothing, so it is never its own donor
     donors = inventory.select("sku", F.col("warehouse").alias("donor"), give.alias("can_give")).where("can_give > 0")
-    best = donors.groupBy("sku").agg(F.min_by(F.struct("donor", "can_give"), F.struct(-F.col("can_give"), natural_key(F.col("donor")))).alias("best")).select("sku", "best.*")
+    best = donors.groupBy("sku").agg(F.min_by(F.struct("donor", "can_give"), F.struct(-F.col("can_give"), collated(F.col("donor")))).alias("best")).select("sku", "best.*")
     named = place_name(locations)
     out = short.join(best, "sku", "left").join(named.select(F.col("warehouse").alias("donor"), F.col("place").alias("donor_place")), "donor", "left").join(named, "warehouse", "left")
     moved = F.coalesce(F.least("need", "can_give"), F.lit(0))
@@ -85,7 +85,7 @@ def billing_candidates(overbilling: DataFrame) -> DataFrame:
 def late_carriers(shipments: DataFrame) -> DataFrame:
     """Carriers with shipments overdue for a week or more, worst first."""
     late = shipments.where((F.col("delivery_state") == "overdue") & (F.col("days_late") >= DELAY_CRITICAL_DAYS))
-    return late.groupBy("carrier").agg(F.count("*").alias("shipments"), F.min("days_late").alias("min_days"), F.max("days_late").alias("max_days"), F.min("shipment_id").alias("first_id")).orderBy(F.desc("shipments"), F.desc("max_days"), natural_key(F.col("carrier")))
+    return late.groupBy("carrier").agg(F.count("*").alias("shipments"), F.min("days_late").alias("min_days"), F.max("days_late").alias("max_days"), F.min("shipment_id").alias("first_id")).orderBy(F.desc("shipments"), F.desc("max_days"), collated(F.col("carrier")))
 
 
 def late_row(carriers: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def late_row(carriers: DataFrame) -> DataFrame:
 
 
 def _worst_first() -> list[Column]:
-    return [F.desc("cents"), F.when(F.col("tone") == "critical", 0).otherwise(1), F.asc_nulls_last("days_of_supply"), F.desc("shipments"), natural_key(F.col("sort_key")), F.col("sort_key")]
+    return [F.desc("cents"), F.when(F.col("tone") == "critical", 0).otherwise(1), F.asc_nulls_last("days_of_supply"), F.desc("shipments"), collated(F.col("sort_key")), F.col("sort_key")]
 
 
 def action_queue(inventory: DataFrame, shipments: DataFrame, assessed: DataFrame, locations: DataFrame) -> DataFrame:
@@ -115,8 +115,8 @@ def action_queue(inventory: DataFrame, shipments: DataFrame, assessed: DataFrame
     late = late_row(late_carriers(shipments))
     room = late.groupBy().agg((F.lit(QUEUE_ROWS) - F.least(F.count("*"), F.lit(1))).alias("room"))
     money = stock.where(F.col("n") <= QUEUE_STOCK_ROWS).select(*columns).unionByName(billing.select(*columns)).withColumn("n", F.row_number().over(everyone)).withColumn("part", F.lit(0))
-    idle = no_usage_rows(plan).orderBy(natural_key(F.col("sort_key")), "sort_key").limit(QUEUE_ROWS).withColumns({"cents": F.lit(None).cast("long"), "days_of_supply": F.lit(None).cast("double"), "shipments": F.lit(None).cast("long")})
-    idle = idle.withColumn("n", F.row_number().over(Window.orderBy(natural_key(F.col("sort_key")), "sort_key"))).withColumn("part", F.lit(1))
+    idle = no_usage_rows(plan).orderBy(collated(F.col("sort_key")), "sort_key").limit(QUEUE_ROWS).withColumns({"cents": F.lit(None).cast("long"), "days_of_supply": F.lit(None).cast("double"), "shipments": F.lit(None).cast("long")})
+    idle = idle.withColumn("n", F.row_number().over(Window.orderBy(collated(F.col("sort_key")), "sort_key"))).withColumn("part", F.lit(1))
     extra = stock.where(F.col("n") > QUEUE_STOCK_ROWS).withColumn("part", F.lit(2))
     parts = money.unionByName(idle.select(*money.columns)).unionByName(extra.select(*money.columns))
     taken = parts.withColumn("turn", F.row_number().over(Window.orderBy("part", "n"))).crossJoin(F.broadcast(room)).where("turn <= room")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_PAGE_SIZE, PAGE_SIZES, RISKS, STATUSES
-from ..functions.text import matches_search, natural_key
+from ..functions.text import collated, matches_search, natural_key  # noqa: F401 - natural_key is used from here
 
 
 def shipment_flag(flag: str) -> Column:
@@ -52,8 +52,8 @@ def attention_rank() -> Column:
 
 
 def sorted_by(rows: DataFrame, column: str, descending: bool = False, text: bool = False, then: str | None = None) -> DataFrame:
-    """Nulls last either way; text with numbers in number order; ties by ``then``, ascending."""
-    key = natural_key(F.col(column)) if text else F.col(column)
+    """Nulls last either way; text in a collator's order, numbers by value; ties by ``then``, ascending."""
+    key = collated(F.col(column)) if text else F.col(column)
     first = key.desc_nulls_last() if descending else key.asc_nulls_last()
     return rows.orderBy(first, *([then] if then else []))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import draws
 from ..operators import canonical as ca
 from ..operators import flatten as fl
 from ..operators import importing as im
@@ -255,3 +256,20 @@ def spelling_pairs(spark, d):
     """Words of the benchmark's texts that one or two slips of the pen make of each other."""
     words = st.read(spark, d, "benchmark").selectExpr(f"{WORD_LIST} as word")
     return sg.spelled_alike(words)
+
+
+# ---- draws -------------------------------------------------------------------------------------------------------------------
+
+SEED, W32 = 20260315, 4294967295
+_MUL = "cast((cast({a} as hugeint) * {b}) & {w} as bigint)"
+DRAWS_SQL = f"""s0 as (select event_id, cast(({SEED} + (event_id + 1) * cast(1831565813 as hugeint)) & {W32} as bigint) as a from events where event_id is not null),
+s1 as (select event_id, {_MUL.format(a="xor(a, a >> 15)", b="(a | 1)", w=W32)} as t from s0),
+s2 as (select event_id, xor((t + {_MUL.format(a="xor(t, t >> 7)", b="(t | 61)", w=W32)}) & {W32}, t) as t from s1), drawn as (select event_id, xor(t, t >> 14) as word from s2)"""
+
+
+@query(f"with {DRAWS_SQL} select event_id, word, cast(floor(word / 4294967296e0 * 6) + 1 as bigint) as die, ['pending', 'in_transit', 'delivered'][cast(floor(word / 4294967296e0 * 3) as integer) + 1] as status from drawn")
+def event_draws(spark, d):
+    """A draw for every event by its number, each made without the ones before."""
+    rows = st.read(spark, d, "events").where("event_id is not null")
+    at = F.col("event_id")
+    return rows.select("event_id", draws.word(SEED, at).alias("word"), draws.between(SEED, at, 1, 6).alias("die"), draws.picked(SEED, at, ["pending", "in_transit", "delivered"]).alias("status"))

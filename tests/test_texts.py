@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quaywork.functions import draws
 from quaywork.functions.numbers import compact_money, fixed, money_text
-from quaywork.functions.text import natural_key
+from quaywork.functions.text import collated, natural_key
 
 
 def values(spark, kind, rows, expression):
@@ -33,3 +34,49 @@ def test_natural_order(spark):
     texts = ["a2", "a10", "A3", "é1", "e2", "b007", "b7x", f"c{10**25}", f"c{9 * 10**24}", ""]
     keys = dict(zip(texts, values(spark, "string", texts, natural_key), strict=True))
     assert sorted(texts, key=keys.get) == ["", "a2", "A3", "a10", "b007", "b7x", f"c{9 * 10**24}", f"c{10**25}", "é1", "e2"]
+
+
+# In the order of the root collation at base strength, numbers by value: those on one line tie.
+COLLATED = [
+    [""], [" x"], ["_x"], ["-x"], [",x"], [";x"], [":x"], ["!x"], ["?x"], [".x"], ["'x"], ['"x'], ["(x)"], ["[x]"], ["{x}"], ["@x"], ["*x"], ["/x"], ["\\x"], ["&x"], ["#5"], ["%x"], ["`x"], ["^x"], ["+x"], ["<x"], ["=x"], [">x"], ["|x"], ["~x"], ["$1"],
+    ["0", "00"], ["1a"], ["2"], ["9", "09"], ["10"], ["a", "A", "á", "Ä"], ["a 1"], ["a-1"], ["a.b"], ["a2", "A2", "á2"], ["a10"], ["ab"], ["B 1", "b 1"], ["B-1"], ["b1x"], ["b01y"], ["co op"], ["co-op"], ["coop", "COOP"], ["n", "ñ"], ["n~"], ["zebra2"], ["Zebra10"],
+]
+
+
+def test_collated_order(spark):
+    import random
+
+    texts = [(t, i) for i, line in enumerate(COLLATED) for t in line]
+    random.Random(3).shuffle(texts)
+    rows = spark.createDataFrame(texts, "t string, i int").withColumn("k", collated(F.col("t")))
+    assert [r.i for r in rows.orderBy("k").collect()] == sorted(i for _, i in texts)
+    assert rows.groupBy("k").agg(F.count("*").alias("n")).count() == len(COLLATED)
+
+
+def mulberry(seed):
+    """The generator, one draw after the other."""
+    a = seed & 0xFFFFFFFF
+    imul = lambda x, y: x * y & 0xFFFFFFFF
+    while True:
+        a = a + 0x6D2B79F5 & 0xFFFFFFFF
+        t = imul(a ^ a >> 15, a | 1)
+        t = (t + imul(t ^ t >> 7, t | 61) & 0xFFFFFFFF) ^ t
+        yield t ^ t >> 14
+
+
+@pytest.mark.parametrize("seed", [0, 1, 42, 0xFFFFFFFF, 20260315])
+def test_draws_equal_the_sequential_generator(spark, seed):
+    from itertools import islice
+
+    one = list(islice(mulberry(seed), 3000))
+    rows = spark.range(2500).select("id", draws.word(seed, F.col("id")).alias("w"), draws.between(seed, F.col("id"), -3, 8).alias("b"), draws.picked(seed, F.col("id"), ["x", "y", "z"]).alias("p"), draws.swaps(seed, F.col("id"), 9).alias("s"))
+    got = rows.orderBy("id").collect()
+    assert [r.w for r in got] == one[:2500]
+    assert [r.b for r in got] == [x * 12 // 2**32 - 3 for x in one[:2500]]
+    assert [r.p for r in got] == ["xyz"[x * 3 // 2**32] for x in one[:2500]]
+    for r in got[::50]:
+        order = list(range(9))
+        for k, last in enumerate(range(8, 0, -1)):
+            other = one[r.id + k] * (last + 1) // 2**32
+            order[last], order[other] = order[other], order[last]
+        assert r.s == order
