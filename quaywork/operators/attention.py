@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import ATTENTION_KINDS, COST_CRITICAL_MULTIPLE, DELAY_CRITICAL_DAYS, QUEUE_ROWS, QUEUE_STOCK_ROWS
 from ..functions.numbers import compact_money
 from ..functions.text import collated, counted
+from ..scratch import written
 from .inventory import short_units
 
 
@@ -66,11 +67,19 @@ def no_usage_rows(plan: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit("stock:"), "item_id").alias("key"), F.lit("critical").alias("tone"), F.col("item_id").alias("sort_key"), F.concat("product_name", F.lit(" is out of stock in "), "place").alias("what"), F.lit("usage unknown").alias("damage"), "action")
 
 
+def _over() -> Column:
+    return F.col("is_cost_anomaly") & (F.col("baseline_cents") > 0)
+
+
+def _overbilling(over: Column) -> list[Column]:
+    some = lambda c: F.when(over, c)
+    critical = F.col("shipping_cost_cents") >= F.col("baseline_cents") * COST_CRITICAL_MULTIPLE
+    return [F.sum(some(F.col("shipping_cost_cents") - F.col("baseline_cents"))).alias("cents"), F.count_if(over).alias("shipments"), F.bool_or(some(critical)).alias("critical"), F.min(some(F.col("shipment_id"))).alias("first_id")]
+
+
 def carrier_overbilling(assessed: DataFrame) -> DataFrame:
     """Carrier, cents above typical over its unusual costs, how many, and whether one is critical."""
-    over = assessed.where("is_cost_anomaly and baseline_cents > 0")
-    critical = F.col("shipping_cost_cents") >= F.col("baseline_cents") * COST_CRITICAL_MULTIPLE
-    return over.groupBy("carrier").agg(F.sum(F.col("shipping_cost_cents") - F.col("baseline_cents")).alias("cents"), F.count("*").alias("shipments"), F.bool_or(critical).alias("critical"), F.min("shipment_id").alias("first_id"))
+    return assessed.where(_over()).groupBy("carrier").agg(*_overbilling(F.lit(True)))
 
 
 def billing_candidates(overbilling: DataFrame) -> DataFrame:
@@ -82,10 +91,29 @@ def billing_candidates(overbilling: DataFrame) -> DataFrame:
     )
 
 
+def _late() -> Column:
+    return (F.col("delivery_state") == "overdue") & (F.col("days_late") >= DELAY_CRITICAL_DAYS)
+
+
+def _lateness(late: Column) -> list[Column]:
+    days, id_ = F.when(late, F.col("days_late")), F.when(late, F.col("shipment_id"))
+    return [F.count_if(late).alias("shipments"), F.min(days).alias("min_days"), F.max(days).alias("max_days"), F.min(id_).alias("first_id")]
+
+
+def _worst_carriers(late: DataFrame) -> DataFrame:
+    return late.orderBy(F.desc("shipments"), F.desc("max_days"), collated(F.col("carrier")))
+
+
 def late_carriers(shipments: DataFrame) -> DataFrame:
     """Carriers with shipments overdue for a week or more, worst first."""
-    late = shipments.where((F.col("delivery_state") == "overdue") & (F.col("days_late") >= DELAY_CRITICAL_DAYS))
-    return late.groupBy("carrier").agg(F.count("*").alias("shipments"), F.min("days_late").alias("min_days"), F.max("days_late").alias("max_days"), F.min("shipment_id").alias("first_id")).orderBy(F.desc("shipments"), F.desc("max_days"), collated(F.col("carrier")))
+    return _worst_carriers(shipments.where(_late()).groupBy("carrier").agg(*_lateness(F.lit(True))))
+
+
+def carrier_figures(assessed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``carrier_overbilling`` and ``late_carriers`` of assessed shipments in one pass, which is made here."""
+    over, late = _overbilling(_over()), _lateness(_late())
+    both = written(assessed.where(_over() | _late()).groupBy("carrier").agg(F.struct(*over).alias("over"), F.struct(*late).alias("late")))
+    return both.where("over.shipments > 0").select("carrier", "over.*"), _worst_carriers(both.where("late.shipments > 0").select("carrier", "late.*"))
 
 
 def late_row(carriers: DataFrame) -> DataFrame:
@@ -101,18 +129,19 @@ def _worst_first() -> list[Column]:
     return [F.desc("cents"), F.when(F.col("tone") == "critical", 0).otherwise(1), F.asc_nulls_last("days_of_supply"), F.desc("shipments"), collated(F.col("sort_key")), F.col("sort_key")]
 
 
-def action_queue(inventory: DataFrame, shipments: DataFrame, assessed: DataFrame, locations: DataFrame) -> DataFrame:
+def action_queue(inventory: DataFrame, assessed: DataFrame, locations: DataFrame) -> DataFrame:
     """At most five rows (rank, key, tone, what, damage, action): money rows by money, at most three of stock while others
     are left; then items out of stock without usage; the worst late carrier last.
 
-    ``shipments`` are enriched, ``assessed`` have costs too. Each part is cut to a few rows before the parts are put together, so ranking them in one place is free.
+    ``assessed`` are enriched shipments with costs. Each part is cut to a few rows before the parts are put together, so ranking them in one place is free.
     """
-    plan = transfer_plan(inventory, locations)
+    plan = written(transfer_plan(inventory, locations))
     columns = ["key", "tone", "cents", "days_of_supply", "shipments", "sort_key", "what", "damage", "action"]
     everyone = Window.orderBy(*_worst_first())
     stock = stock_candidates(plan).orderBy(*_worst_first()).limit(QUEUE_STOCK_ROWS + QUEUE_ROWS).withColumn("n", F.row_number().over(everyone))
-    billing = billing_candidates(carrier_overbilling(assessed)).orderBy(*_worst_first()).limit(QUEUE_ROWS)
-    late = late_row(late_carriers(shipments))
+    overbilling, carriers = carrier_figures(assessed)
+    billing = billing_candidates(overbilling).orderBy(*_worst_first()).limit(QUEUE_ROWS)
+    late = written(late_row(carriers))  # no row or one
     room = late.groupBy().agg((F.lit(QUEUE_ROWS) - F.least(F.count("*"), F.lit(1))).alias("room"))
     money = stock.where(F.col("n") <= QUEUE_STOCK_ROWS).select(*columns).unionByName(billing.select(*columns)).withColumn("n", F.row_number().over(everyone)).withColumn("part", F.lit(0))
     idle = no_usage_rows(plan).orderBy(collated(F.col("sort_key")), "sort_key").limit(QUEUE_ROWS).withColumns({"cents": F.lit(None).cast("long"), "days_of_supply": F.lit(None).cast("double"), "shipments": F.lit(None).cast("long")})

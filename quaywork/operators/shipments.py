@@ -11,6 +11,7 @@ from ..constants import MAD_SCALE, MEAN_AD_SCALE, MIN_MILES, MIN_PEERS, MIN_RATI
 from ..functions.dates import day_text
 from ..functions.numbers import half_up, miles
 from ..functions.text import place_key, status_label, trimmed
+from ..scratch import written
 
 
 #: Rows of a table that is broadcast, at most.
@@ -116,54 +117,57 @@ def _score(x: Column, mid: Column, mad: Column, mean_ad: Column) -> Column:
     return F.when(mad > 0, F.lit(MAD_SCALE) * (x - mid) / mad).when(mean_ad > 0, (x - mid) / (F.lit(MEAN_AD_SCALE) * mean_ad)).otherwise(0.0)
 
 
-def peer_statistics(counted: DataFrame, by: list[str], name: str) -> DataFrame:
-    """For each group: peers, median, median and mean absolute deviation of ``v``, named ``name``_….
+def grouped_medians(values: DataFrame, by: list[str], least: int = 1) -> DataFrame:
+    """``by``, mid and peers of every group with ``least`` values or more; ``values``: v (0 or more), each c times.
 
-    ``counted``: values ``v`` and how often each occurs, ``c``. Equal values are added up before anything is ordered, so
-    a lane with a third of all rows is as many rows as it has different costs (in cents, at most 100,000,000), which a
-    task reads in order from disk; both medians are read off running counts over those.
-    """
-    counted = counted.repartition(*by).groupBy(*by, "v").agg(F.sum("c").alias("c"))  # one exchange for all that follows
-    everyone = Window.partitionBy(*by)
-
-    def with_median(rows: DataFrame, of: str, out: str) -> DataFrame:
-        upto = F.sum("c").over(Window.partitionBy(*by).orderBy(of).rangeBetween(Window.unboundedPreceding, 0))
-        low, high = F.floor((F.col("peers") + 1) / 2), F.floor(F.col("peers") / 2) + 1
-        ranked = rows.withColumn("upto", upto)
-        hit = lambda at: F.min(F.when(F.col("upto") >= at, F.col(of))).over(everyone)
-        return ranked.withColumn(out, (hit(low) + hit(high)) / 2.0)
-
-    ranked = with_median(counted.withColumn("peers", F.sum("c").over(everyone)), "v", "mid")
-    ranked = with_median(ranked.withColumn("apart", F.abs(F.col("v") - F.col("mid"))), "apart", "mad")
-    out = ranked.groupBy(*by).agg(F.first("peers").alias("peers"), F.first("mid").alias("mid"), F.first("mad").alias("mad"), (F.sum(F.col("apart") * F.col("c")) / F.sum("c")).alias("mean_ad"))
-    return out.select(*by, *[F.col(c).alias(f"{name}_{c}") for c in ("peers", "mid", "mad", "mean_ad")])
-
-
-def _binned_median(values: DataFrame) -> DataFrame:
-    """One row (mid, peers) of counted values (v >= 0, c), for a group that may hold any number of different values.
-
-    Sums by bins of the logarithm tell which bins hold the middle ranks; only those bins' values are put in order.
+    Sums by bins of the logarithm tell which bins hold a group's middle ranks, and only those bins' values are put in order. So
+    a task sees a group's bins (some tens of thousands) or one bin's different values, never a whole group.
     """
     binned = values.withColumn("bin", F.when(F.col("v") > 0, F.floor(F.log2("v") * 1024)).otherwise(-(1 << 40)))
-    totals = binned.groupBy("bin").agg(F.sum("c").alias("n"))
-    run = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = totals.withColumn("upto", F.sum("n").over(run)).withColumn("total", F.sum("n").over(Window.partitionBy()))
+    totals = binned.groupBy(*by, "bin").agg(F.sum("c").alias("n"))
+    group = Window.partitionBy(*by)
+    ranked = totals.withColumn("upto", F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(group)).where(F.col("total") >= least)
     low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
     middle = ranked.withColumn("before", F.col("upto") - F.col("n")).where(((F.col("before") < low) & (low <= F.col("upto"))) | ((F.col("before") < high) & (high <= F.col("upto"))))
-    inside = binned.join(F.broadcast(middle), "bin")
-    own = Window.partitionBy("bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = binned.join(middle.select(*by, "bin", "before", "total"), [*by, "bin"])
+    own = Window.partitionBy(*by, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     placed = inside.withColumn("at", F.col("before") + F.sum("c").over(own))
     hit = lambda rank: F.min(F.when(F.col("at") >= rank, F.col("v")))
-    return placed.groupBy().agg(((hit(low) + hit(high)) / 2.0).alias("mid"), F.max("total").alias("peers")).where("peers is not null")
+    return placed.groupBy(*by).agg(((hit(low) + hit(high)) / 2.0).alias("mid"), F.max("total").alias("peers"))
+
 
+def peer_statistics(counted: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, peers, mid, mad and mean_ad of every group of ``MIN_PEERS`` values or more: median, median and mean deviation.
 
-def pool_statistics(counted: DataFrame) -> DataFrame:
-    """``peer_statistics`` of all values as one group, in one row named m_…; none if there are too few."""
-    mid = _binned_median(counted).where(F.col("peers") >= MIN_PEERS)
-    apart = counted.crossJoin(F.broadcast(mid.select("mid"))).select(F.abs(F.col("v") - F.col("mid")).alias("v"), "c")
-    mean = apart.agg((F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("m_mean_ad"))
-    spread = _binned_median(apart.groupBy("v").agg(F.sum("c").alias("c"))).select(F.col("mid").alias("m_mad"))
-    return mid.select(F.col("peers").alias("m_peers"), F.col("mid").alias("m_mid")).crossJoin(spread).crossJoin(mean)
+    ``counted``: a written table of values v and how often each occurs in its group, c.
+    """
+    mids = grouped_medians(counted, by, MIN_PEERS)
+    apart = written(counted.join(mids, by).select(*by, F.abs(F.col("v") - F.col("mid")).alias("v"), "c", "mid", "peers"))
+    whole = apart.groupBy(*by).agg(F.first("peers").alias("peers"), F.first("mid").alias("mid"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean_ad"))
+    return whole.join(grouped_medians(apart.select(*by, "v", "c"), by).select(*by, F.col("mid").alias("mad")), by)
+
+
+def cost_statistics(shipments: DataFrame) -> tuple[DataFrame, tuple | None]:
+    """Statistics of costs by route and carrier: route_key, carrier, rc_… and r_…, a table; and (peers, mid, mad, mean_ad) of costs per
+    mile over all, None if they are too few.
+
+    One pass over the shipments counts equal costs of each route and carrier; routes and the pool add those counts up, and
+    all groups of the three kinds are worked on together.
+    """
+    priced = (F.col("status") != "cancelled") & (F.col("shipping_cost_cents") > 0)
+    cost, none = F.col("shipping_cost_cents").cast("double"), F.lit("")
+    costs = shipments.where(priced).groupBy("route_key", F.coalesce("carrier", none).alias("carrier"), "shipping_cost_cents", "distance_miles").agg(F.count("*").alias("c"))
+    per_mile = F.when(F.col("distance_miles") >= MIN_MILES, cost / F.col("distance_miles"))
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), route.alias("route_key"), carrier.alias("carrier"), v.alias("v")) for kind, route, carrier, v in (("rc", F.col("route_key"), F.col("carrier"), cost), ("r", F.col("route_key"), none, cost), ("m", none, none, per_mile))])
+    by = ["kind", "route_key", "carrier"]
+    counted = written(costs.select("c", F.inline(kinds)).where("v is not null").groupBy(*by, "v").agg(F.sum("c").alias("c")))
+    found = written(peer_statistics(counted, by))
+    figures = ("peers", "mid", "mad", "mean_ad")
+    one = found.where("kind = 'm'").select(*figures).first()
+    lanes = counted.where("kind = 'rc'").select("route_key", "carrier").distinct()
+    close = found.where("kind = 'rc'").select("route_key", "carrier", *[F.col(c).alias(f"rc_{c}") for c in figures])
+    route = found.where("kind = 'r'").select("route_key", *[F.col(c).alias(f"r_{c}") for c in figures])
+    return written(lanes.join(close, ["route_key", "carrier"], "left").join(route, "route_key", "left")), one and tuple(one)
 
 
 def assess_costs(shipments: DataFrame) -> DataFrame:
@@ -171,22 +175,18 @@ def assess_costs(shipments: DataFrame) -> DataFrame:
 
     Peers are the shipments of the same route and carrier, else of the route, else all of 50 miles or more by cost per
     mile, with eight at least, the row itself included; cancelled and free ones have no peers and are none. An anomaly
-    has a score over 3.5 and 1.5 times the median, both unrounded; what is shown is rounded.
+    has a score over 3.5 and 1.5 times the median, both unrounded; what is shown is rounded. The statistics are worked out, and
+    written, when this is called.
     """
     cost = F.col("shipping_cost_cents").cast("double")
     priced = (F.col("status") != "cancelled") & (F.col("shipping_cost_cents") > 0)
     far = F.col("distance_miles") >= MIN_MILES
     per_mile = cost / F.col("distance_miles")
-    # all three statistics come from one pre-aggregate of the rows, which is why nothing is filtered after it
-    costs = shipments.where(priced).groupBy("route_key", "carrier", "shipping_cost_cents", "distance_miles").agg(F.count("*").alias("c"))
-    by_cost = costs.select("route_key", "carrier", cost.alias("v"), "c")
-    close = peer_statistics(by_cost, ["route_key", "carrier"], "rc")
-    route = peer_statistics(by_cost, ["route_key"], "r")
-    # only rows without either group need the statistics of all; near ones count as none
-    pool = costs.select(F.when(far, per_mile).otherwise(0.0).alias("v"), F.when(far, F.col("c")).otherwise(0).alias("c"))
-    everyone = pool_statistics(pool.groupBy("v").agg(F.sum("c").alias("c"))).withColumn("all", F.lit(1))
-    lanes = close.join(route, "route_key", "left")
-    out = shipments.join(lanes, ["route_key", "carrier"], "left").withColumn("all", F.when(far, 1)).join(F.broadcast(everyone), ["all"], "left")
+    lanes, pool = cost_statistics(shipments)
+    keyed = lanes.withColumnsRenamed({"route_key": "of_route", "carrier": "of_carrier"})
+    out = shipments.join(keyed, (F.col("route_key") == F.col("of_route")) & (F.coalesce("carrier", F.lit("")) == F.col("of_carrier")), "left").drop("of_route", "of_carrier")
+    figures = dict(zip(("peers", "mid", "mad", "mean_ad"), pool or (None,) * 4, strict=True))
+    out = out.withColumns({f"m_{c}": F.when(far, F.lit(v)).cast("long" if c == "peers" else "double") for c, v in figures.items()})
     method = F.when(~priced, "none").when(F.col("rc_peers") >= MIN_PEERS, "route_carrier").when(F.col("r_peers") >= MIN_PEERS, "route").when(F.col("m_peers").isNotNull(), "per_mile").otherwise("none")
     out = out.withColumn("cost_method", method)
 
@@ -204,4 +204,4 @@ def assess_costs(shipments: DataFrame) -> DataFrame:
         "cost_score": half_up(raw * 100) / 100,
         "is_cost_anomaly": F.coalesce((raw > Z_THRESHOLD) & (x >= of("mid") * MIN_RATIO), F.lit(False)),
     })
-    return out.drop("all", *[f"{g}_{c}" for g in ("rc", "r", "m") for c in ("peers", "mid", "mad", "mean_ad")])
+    return out.drop(*[f"{g}_{c}" for g in ("rc", "r", "m") for c in ("peers", "mid", "mad", "mean_ad")])

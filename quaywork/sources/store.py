@@ -1,7 +1,8 @@
 """A store of the two fact tables by version: whole tables are replaced at once, and the last replacement can be undone.
 
 Every version's tables are Parquet folders that are never changed; a log with one row a version says which folders it has.
-A version exists from the moment its log row does, so readers see whole versions only.
+A version exists from the moment its log row does, so readers see whole versions only. The row is moved to a folder named after its
+version, which fails where that exists: of two writers of one version the second is refused.
 """
 
 from __future__ import annotations
@@ -19,15 +20,19 @@ class StaleUndo(Exception):
     """The version to undo isn't the current one, or has nothing before it to go back to."""
 
 
+class SecondWriter(Exception):
+    """Another writer made this version first; nothing was changed."""
+
+
 class VersionedStore:
-    """A store in the folder ``path``, which the driver and all executors share. One writer at a time."""
+    """A store in the folder ``path``, which the driver and all executors share."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     def _log(self) -> list:
         try:
-            log = self.spark.read.schema(LOG).parquet(f"{self.path}/log")
+            log = self.spark.read.schema(LOG).option("recursiveFileLookup", True).parquet(f"{self.path}/log")
         except Exception as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise
@@ -36,9 +41,25 @@ class VersionedStore:
 
     def _append(self, version: int, folders: dict[str, str | None], undoable: bool) -> int:
         row = self.spark.createDataFrame([(version, *[folders.get(t) for t in TABLES], undoable)], LOG)
-        row.coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+        made, place = f"{self.path}/new/{uuid.uuid4().hex}", f"{self.path}/log/{version:012d}"
+        row.coalesce(1).write.parquet(made)
+        self._move(made, place)
         return version
 
+    def _move(self, made: str, place: str) -> None:
+        """Moves a folder to a new place, all at once or not at all."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        path = hadoop.Path(place)
+        conf = self.spark._jsc.hadoopConfiguration()
+        path.getFileSystem(conf).mkdirs(path.getParent())
+        options = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+        try:
+            hadoop.FileContext.getFileContext(path.toUri(), conf).rename(hadoop.Path(made), path, options)
+        except Exception as error:
+            if "AlreadyExists" not in str(error):
+                raise
+            raise SecondWriter(f"{place.rpartition('/')[2]} was made by another writer") from None
+
     def version(self) -> int:
         """The current version; 0 before the first replacement."""
         log = self._log()
@@ -46,6 +67,13 @@ class VersionedStore:
 
     def replace(self, **tables: DataFrame) -> int:
         """Replaces the named tables (``inventory``, ``shipments``) together; others stay. Returns the new version."""
+        return self._replace(tables, True)
+
+    def replace_for_good(self, **tables: DataFrame) -> int:
+        """``replace`` that can't be undone."""
+        return self._replace(tables, False)
+
+    def _replace(self, tables: dict[str, DataFrame], undoable: bool) -> int:
         if not tables or set(tables) - set(TABLES):
             raise ValueError(f"give one or both of {', '.join(TABLES)}")
         log = self._log()
@@ -53,7 +81,7 @@ class VersionedStore:
         for name, rows in tables.items():
             folders[name] = f"{self.path}/tables/{name}-{uuid.uuid4().hex}"
             rows.write.parquet(folders[name])
-        return self._append(log[0]["version"] + 1 if log else 1, folders, bool(log))
+        return self._append(log[0]["version"] + 1 if log else 1, folders, undoable and bool(log))
 
     def undo(self, version: int) -> int:
         """Takes back the replacement that made ``version``, which has to be the current one. Can't be undone itself."""
