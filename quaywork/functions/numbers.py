@@ -57,10 +57,10 @@ def compact_money(cents: Column) -> Column:
 
 
 def miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance in miles, rounded to a tenth."""
+    """Great-circle distance in miles, rounded to a tenth; null if an end isn't known."""
     dlat, dlon = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
     h = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2), 2)
-    return half_up(F.lit(2 * EARTH_RADIUS_MILES) * F.asin(F.least(F.lit(1.0), F.sqrt(h))) * 10) / 10
+    return half_up(F.lit(2 * EARTH_RADIUS_MILES) * F.asin(F.when(h > 1, 1.0).otherwise(F.sqrt(h))) * 10) / 10
 
 
 def projected(lat: Column, lon: Column, box: tuple[float, float, float, float] = (24.0, 50.0, -125.0, -66.0), size: tuple[int, int] = (1000, 600)) -> Column:

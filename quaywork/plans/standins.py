@@ -147,7 +147,7 @@ SHIPMENTS_SQL = LOCATIONS_SQL + """, lines as (
 ), routed as (
   select *, coalesce(origin_code, origin_text) || '>' || coalesce(destination_code, destination_text) as route_key,
     coalesce(origin_name, trim(origin)) || ' → ' || coalesce(destination_name, trim(destination)) as route_label,
-    floor(7917.6e0 * asin(least(1e0, sqrt(pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)))) * 10 + 0.5e0) / 10 as distance_miles,
+    case when lat1 is not null and lat2 is not null then floor(7917.6e0 * asin(least(1e0, sqrt(pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)))) * 10 + 0.5e0) / 10 end as distance_miles,
     case when status = 'cancelled' then 'cancelled' when actual_delivery < ship_date then 'unknown'
       when status = 'delivered' then case when estimated_delivery is null or actual_delivery is null then 'unknown' when actual_delivery <= estimated_delivery then 'on_time' else 'late' end
       when estimated_delivery is null then 'unknown' when date '1998-07-01' > estimated_delivery then 'overdue' else 'in_progress' end as delivery_state
