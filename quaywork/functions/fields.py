@@ -18,6 +18,7 @@ from .text import BLANK, clipped, has_control, trimmed
 
 Problem = tuple[Column, str, Column]
 
+# What is said of a field that can't be read, here and in the parsers below, and how much of it is quoted.
 NUMBER_HELP = " is not a valid number. Use digits with an optional decimal point, e.g. 1250.50 (no currency symbols, thousands separators or spaces)."
 CONTROL = "Value contains control characters (tabs, line breaks or other non-printing characters)."
 MOST_SHOWN = 40

@@ -82,13 +82,16 @@ def date_text(text: Column, preset: str) -> Column:
     """A real day written by ``preset``, with or without a time of day, as YYYY-MM-DD; null for anything else."""
     day, (y, m, d) = _DAYS[preset]
     whole = rf"^{day}(?:{'(?:T|\\s+)' if preset == 'iso' else '\\s+'}{_TIME})?\z"
-    at = lambda i: F.regexp_extract(trimmed(text), whole, i)
-    found = F.concat_ws("-", at(y), F.lpad(at(m), 2, "0"), F.lpad(at(d), 2, "0"))
-    return F.when(trimmed(text).rlike(whole) & F.try_to_date(found, "yyyy-MM-dd").isNotNull(), found)
+    bare = trimmed(text)
+    parts = F.split(F.regexp_replace(bare, whole, f"${y}-${m}-${d}"), "-")
+    at = lambda i: F.lpad(F.get(parts, F.lit(i)), 2, "0")
+    found = F.concat_ws("-", F.get(parts, F.lit(0)), at(1), at(2))
+    return F.when(bare.rlike(whole) & F.try_to_date(found, "yyyy-MM-dd").isNotNull(), found)
 
 
 def value_key(text: Column) -> Column:
     """How source values are compared: case, Latin accents, separators and punctuation ignored."""
+    # fixed values: letters that have no base letter, separators that count as a space, and what stays
     low = F.lower(F.translate(text, ACCENTED, BASE))
     plain = reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), [("ß", "ss"), ("æ", "ae"), ("œ", "oe")], F.translate(low, "đøł", "dol"))
     words = F.regexp_replace(F.regexp_replace(plain, r"[_\-./\\\u2010-\u2015\u2212]+", " "), r"[^\p{L}\p{N} ]+", "")

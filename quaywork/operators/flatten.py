@@ -74,7 +74,7 @@ def flatten(records: DataFrame, key: str, column: str, name: str = "records", sc
     The main table ``name`` has ``_key`` (the key as text) and a text column for every leaf path. For every array of objects
     there is a table named after its parent and path, with ``_key`` (parent's, path and ordinal), ``_parent``, ``_ordinal`` (from
     0) and its own leaves; null elements are rows without values. Missing values, nulls and records that can't be read are nulls;
-    empty arrays have no rows. Tables come breadth first. A leading ``_`` more keeps the three names apart from leaves.
+    empty arrays have no rows. Numbers are text without zeros that say nothing (1.50 is 1.5). Tables come breadth first. A leading ``_`` more keeps the three names apart from leaves.
     """
     schema = schema if schema is not None else schema_of(records, column)
     rows = records.select(F.col(f"`{key}`").cast("string").alias("at"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("int").alias("ordinal"), F.from_json(F.col(f"`{column}`"), schema).alias("node"))

@@ -202,10 +202,10 @@ _PAGE = "least(greatest(n, 1), pages)"
 
 @query(f"""with {st.INVENTORY_SQL}, kept as (select 'all' as list, item_id, row_number() over (order by item_id) as place, count(*) over () as total from inventory union all select 'none', null, null, 0),
 asked(i, n, size) as (values {', '.join(f'({i}, {n}, {s if s in (10, 25, 50, 100) else 25})' for i, (n, s) in enumerate(PAGES))}),
-told as (select list, total, i, n, size, greatest(1, cast(ceil(total / size) as bigint)) as pages from (select distinct list, total from kept), asked), at as (select *, {_PAGE} as page, ({_PAGE} - 1) * size as start from told)
+told as (select list, total, i, n, size, greatest(1, cast(ceil(total / size) as bigint)) as pages from (select distinct list, total from kept), asked), placed as (select *, {_PAGE} as page, ({_PAGE} - 1) * size as start from told)
 select a.list, cast(i as integer) as i, cast(any_value(a.total) as bigint) as total, any_value(pages) as pages, any_value(page) as page, case when any_value(a.total) > 0 then any_value(start) + 1 else 0 end as first,
   cast(least(any_value(a.total), any_value(start) + any_value(size)) as bigint) as last, min(item_id) as first_item, count(item_id) as rows
-from at a left join kept k on k.list = a.list and k.place > start and k.place <= start + size group by a.list, i""")
+from placed a left join kept k on k.list = a.list and k.place > start and k.place <= start + size group by a.list, i""")
 def pages(spark, d):
     """Pages by number and size: the first, one inside, beyond the end, below one, of a size that isn't offered; and of an empty list."""
     stock = inventory(spark, d).select("item_id").orderBy("item_id")

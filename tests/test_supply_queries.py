@@ -10,7 +10,9 @@ NAMES = """inventory_enriched shipments_enriched cost_assessment data_issue_coun
 shipping_cost_by_month route_summary alerts_all alert_page_3 transfer_plan action_queue billing_candidates search_shipments sort_nulls_last page_2
 import_inventory_issues import_shipment_issues import_first_issues import_refused import_accepted canonical_csv number_preset_unique
 number_preset_marked date_preset_ambiguous currency_decision status_words location_summary column_profile shipment_figures lane_labels
-transit_dots import_impact snapshot_json""".split()
+transit_dots import_impact snapshot_json
+flatten_records flatten_children flatten_grandchildren structural_rows excluded_counts cooked_cells dry_run_problems problems_csv cooked_accepted canonical_file
+spelling_pairs event_draws snapshot metrics_whole import_gate number_decisions date_decisions currency_decisions pages mapped_lanes""".split()
 
 
 @pytest.fixture(scope="module")
