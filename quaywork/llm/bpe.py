@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from ._spark import pick
-from ._text import slices, words
+from ._text import give_back, slices, words
 
-#: Entries of the word memo of a task; it is emptied when full.
-MEMO_WORDS = 500_000
-#: Entries of the memo of compatible pairs of a task.
-MEMO_PAIRS = 1_000_000
+#: Entries of the word memo of a task, and of the memo of compatible pairs; each is emptied when full. The lean ones are for
+#: encoding beside other stages' memory.
+MEMO_WORDS, MEMO_PAIRS = 500_000, 1_000_000
+LEAN_WORDS, LEAN_PAIRS = 200_000, 250_000
 
 #: What the vocabulary file's splitting pattern calls white space.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -53,8 +53,9 @@ def byte_alphabet() -> list[str]:
 class TrieBpe:
     """Encoder and decoder for a ``tokenizers`` BPE file with word ends and ids in merge order."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, lean: bool = False):
         self.path, self.splitter = path, None
+        self.most_words, self.most_pairs = (LEAN_WORDS, LEAN_PAIRS) if lean else (MEMO_WORDS, MEMO_PAIRS)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -79,7 +80,8 @@ class TrieBpe:
         self.mark = os.path.commonprefix(list(self.special))
         self.alphabet = byte_alphabet()
         self.pairs: dict[int, bool] = {}
-        self.memo: dict[str, tuple[bytes, str]] = {}
+        self.memo: dict[str, bytes] = {}  # of a word its ids as little-endian unsigned 32-bit integers
+        self.said: dict[str, str] = {}  # and, where texts are decoded too, its tokens' strings
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether BPE over the joined text of the two tokens gives just these two.
@@ -104,7 +106,7 @@ class TrieBpe:
         """``compatible``, remembered."""
         known = self.pairs.get(left << 20 | token)
         if known is None:
-            if len(self.pairs) >= MEMO_PAIRS:
+            if len(self.pairs) >= self.most_pairs:
                 self.pairs.clear()
             known = self.pairs[left << 20 | token] = self.compatible(left, token)
         return known
@@ -177,45 +179,59 @@ class TrieBpe:
         return [p for p, _ in self.splitter.pre_tokenizer.pre_tokenize_str(self.splitter.normalizer.normalize_str(text))]
 
     def learn(self, distinct: list[str]) -> None:
-        """Puts the encodings and decodings of distinct words in the memo."""
+        """Puts the encodings of distinct words in the memo."""
         memo = self.memo
-        if len(memo) + len(distinct) > MEMO_WORDS:
+        if len(memo) + len(distinct) > self.most_words:
             memo.clear()
+            self.said.clear()
         new = [w for w in distinct if w not in memo]
         cut = [self.split(w) for w in new]
         coded = self.encode_parts(list({p for parts in cut for p in parts if isinstance(p, str)}))
-        strings = self.strings
         for word, parts in zip(new, cut, strict=True):
             ids = [i for p in parts for i in ([p] if isinstance(p, int) else coded[p])]
-            memo[word] = struct.pack(f"<{len(ids)}I", *ids), "".join([f"{strings[i]} " for i in ids])
+            memo[word] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> list[int]:
         """Ids of one text."""
         distinct = [w.decode() for w in text.encode().split()]
         self.learn(distinct)
-        return [i for w in distinct for i in struct.unpack(f"<{len(self.memo[w][0]) // 4}I", self.memo[w][0])]
+        return [i for w in distinct for i in struct.unpack(f"<{len(self.memo[w]) // 4}I", self.memo[w])]
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary strings of the ids with a space between, as the file has no decoder."""
         return " ".join([self.strings[i] for i in ids])
 
-    def encode_column(self, texts: pa.Array) -> Iterator[tuple[bytes, str]]:
-        """(ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
+    def encode_column(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        return (ids for ids, _ in self._coded(texts, decoded=False))
+
+    def round_trip(self, texts: pa.Array) -> Iterator[tuple[bytes, str]]:
+        """``encode_column`` and the decoded text of each text."""
+        return self._coded(texts, decoded=True)
+
+    def _coded(self, texts: pa.Array, decoded: bool) -> Iterator[tuple[bytes, str]]:
         distinct, index, offsets = words(texts)
         distinct = distinct.to_pylist()
         self.learn(distinct)
         known = [self.memo[w] for w in distinct]
-        ids, decoded = np.empty(len(known), dtype=object), np.empty(len(known), dtype=object)
-        ids[:], decoded[:] = [k[0] for k in known], [k[1] for k in known]
-        ids, decoded = ids[index].tolist(), decoded[index].tolist()
+        ids, said = np.empty(len(known), dtype=object), np.empty(len(known), dtype=object)
+        ids[:] = known
+        if decoded:
+            strings, told = self.strings, self.said
+            for w, k in zip(distinct, known, strict=True):
+                if w not in told:
+                    told[w] = "".join([f"{strings[i]} " for i in struct.unpack(f"<{len(k) // 4}I", k)])
+            said[:] = [told[w] for w in distinct]
+        ids = ids[index].tolist()
+        said = said[index].tolist() if decoded else []
         for a, b in pairwise(offsets.tolist()):
-            yield b"".join(ids[a:b]), "".join(decoded[a:b])[:-1]
+            yield b"".join(ids[a:b]), "".join(said[a:b])[:-1]
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> TrieBpe:
+def tokenizer(path: str, lean: bool = False) -> TrieBpe:
     """One encoder for each Python worker and file."""
-    return TrieBpe(path)
+    return TrieBpe(path, lean)
 
 
 def _file(spark, path: str) -> str:
@@ -235,14 +251,16 @@ def bpe_encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["ids array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(SparkFiles.get(name))
+        bpe = tokenizer(SparkFiles.get(name), True)
         for batch in batches:
-            for part in slices(batch, most=4 << 20):
-                raw = [ids for ids, _ in bpe.encode_column(part.column("text"))]
+            for part in slices(batch, most=2 << 20):
+                raw = list(bpe.encode_column(part.column("text")))
                 ends = np.cumsum([0, *[len(r) // 4 for r in raw]]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(raw), dtype="<i4"))
                 ids = pa.ListArray.from_arrays(pa.array(ends), values)
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in fields], ids], [*[f.name for f in fields], "ids"])
+                del raw, values, ids
+                give_back()
 
     return source.mapInArrow(run, schema)
 
@@ -275,11 +293,12 @@ def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch, most=4 << 20):
                 counts, ids_hash, text_hash = [], [], []
-                for ids, decoded in bpe.encode_column(part.column("text")):
+                for ids, decoded in bpe.round_trip(part.column("text")):
                     counts.append(len(ids) // 4)
                     ids_hash.append(hashlib.sha256(ids).hexdigest())
                     text_hash.append(hashlib.sha256(decoded.encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        give_back()
 
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
