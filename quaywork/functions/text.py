@@ -73,5 +73,10 @@ def counted(n: Column, one: str, many: str) -> Column:
     return F.concat(F.format_number(n, 0), F.lit(" "), F.when(n == 1, one).otherwise(many))
 
 
+def alias_key(text: Column) -> Column:
+    """How names of columns are compared: trimmed, lower case, runs of white space and ``_ - . / ( )`` as one space."""
+    return F.trim(F.regexp_replace(F.lower(trimmed(text)), rf"(?:{BLANK}|[_\-./()])+", " "))
+
+
 def status_label(status: Column) -> Column:
     return F.when(status == "in_transit", "In transit").otherwise(F.initcap(status))

@@ -104,7 +104,9 @@ def checked(raw: DataFrame, header: Sequence[str], columns: Sequence[Spec], key:
     shown = F.format_string(duplicate.replace("{}", "%s"), *[F.col(f"{k}_value") for k in key])
     out = out.withColumn("key", F.when(readable, shown))
     repeated = out.where("key is not null").groupBy("key").agg(F.min("line").alias("first_line"), F.count("*").alias("n")).where("n > 1").drop("n")
-    out = out.join(repeated, "key", "left")
+    # rows without a key have a seat of their own each, so that they aren't dealt to one task
+    seat = F.coalesce("key", F.concat(F.lit("\0"), F.col("line").cast("string")))
+    out = out.withColumn("seat", seat).join(repeated.withColumnRenamed("key", "seat"), "seat", "left")
     own = [F.when(F.col(f"{c.name}_problem").isNotNull(), of_row(i, F.lit(c.name), F.col(f"{c.name}_problem.code"), F.col(f"{c.name}_problem.message"))) for i, c in enumerate(columns)]
     first = next(i for i, c in enumerate(columns) if c.name == key[0])
     again = F.when(F.col("line") > F.col("first_line"), of_row(first, F.lit(key[0]), F.lit("DUPLICATE_ID"), F.concat(F.lit("Duplicate "), F.col("key"), F.format_string(" (first seen on line %d).", F.col("first_line")))))

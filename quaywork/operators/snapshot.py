@@ -26,7 +26,7 @@ def snapshot_sections(inventory: DataFrame, shipments: DataFrame, locations: Dat
     once, so that no section enriches them again.
     """
     stock = written(enrich_inventory(inventory))
-    sent = written(assess_costs(enrich_shipments(shipments, locations, today)))
+    sent = written(assess_costs(written(enrich_shipments(shipments, locations, today))))
     held = me.warehouse_utilization(stock, locations)
     return {
         "inventory": stock,

@@ -18,6 +18,7 @@ from ..operators import metrics as me
 from ..operators import series as se
 from ..operators.inventory import enrich_inventory
 from ..operators.shipments import assess_costs, enrich_shipments
+from ..scratch import written
 from . import standins as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,7 +46,7 @@ def shipments(spark, d):
 
 
 def assessed(spark, d):
-    return assess_costs(shipments(spark, d))
+    return assess_costs(written(shipments(spark, d)))
 
 
 def utilization(spark, d):

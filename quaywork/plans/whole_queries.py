@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import reference as rf
+from ..functions.text import alias_key
 from ..operators import attention as at
 from ..operators import figures as fi
 from ..operators import importing as im
@@ -12,6 +14,7 @@ from ..operators import profiling as pr
 from ..operators import series as se
 from ..operators import snapshot as sn
 from ..operators.inventory import enrich_inventory
+from ..operators.shipments import located
 from . import import_queries as iq
 from . import standins as st
 from .queries import BOTH, PLAN_SQL, SQL, inventory, query, routes, scaled, shipments
@@ -222,3 +225,35 @@ def pages(spark, d):
 def mapped_lanes(spark, d):
     """The dozen busiest lanes between two known places."""
     return se.listed_lanes(routes(spark, d), mapped_only=True, k=12).select("route_key", "shipments")
+
+
+# ---- the reference dimension ---------------------------------------------------------------------------------------------------------
+
+_values = lambda rows: ", ".join("(" + ", ".join("null" if v is None else f"'{v}'" if isinstance(v, str) else f"{v!r}" for v in r) + ")" for r in rows)
+_PLACES = _values([(code, name, lat, lon) for code, name, lat, lon, *_ in (*rf.WAREHOUSES, *rf.CITIES)])
+_LANES = _values([(a, b, i) for i, (a, b) in enumerate((a, b) for a, ends in rf.LANES.items() for b in ends)])
+
+
+@query(f"""with place(code, name, lat, lon) as (values {_PLACES}), lane(origin, destination, i) as (values {_LANES}), carrier(carrier, rate, i) as (values {_values([(*c, i) for i, c in enumerate(rf.CARRIERS)])}),
+sent as (select l_orderkey % 30 as lane, l_suppkey % 5 as carrier, count(*) as shipments from lineitem group by 1, 2),
+far as (select l.i, a.code || '>' || b.code as route_key, a.name || ' → ' || b.name as route_label, floor(7917.6e0 * asin(least(1e0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) * 10 + 0.5e0) / 10 as miles
+  from lane l join place a on a.code = l.origin join place b on b.code = l.destination)
+select route_key, route_label, c.carrier, cast(floor(miles * 10 + 0.5e0) as bigint) as tenths, shipments, cast(floor(cast(miles as double) * cast(rate as double) * 100 + 0.5e0) as bigint) as typical_cents from sent s join far on far.i = s.lane join carrier c on c.i = s.carrier""")
+def reference_lanes(spark, d):
+    """Lines of orders on the lanes of the reference dimension: distance, and what each carrier's rate makes of it."""
+    lines = st.read(spark, d, "lineitem").select((F.col("l_orderkey") % 30).cast("int").alias("lane"), (F.col("l_suppkey") % 5).cast("int").alias("by")).groupBy("lane", "by").agg(F.count("*").alias("shipments"))
+    on = F.broadcast(rf.lanes(spark)).withColumnRenamed("_ord", "lane")
+    by = F.broadcast(rf.carriers(spark)).withColumnRenamed("_ord", "by")
+    placed = located(lines.join(on, "lane").join(by, "by"), rf.locations(spark))
+    typical = F.floor(F.col("distance_miles") * F.col("rate_per_mile") * 100 + 0.5).cast("long")
+    return placed.select("route_key", "route_label", "carrier", F.floor(F.col("distance_miles") * 10 + 0.5).cast("long").alias("tenths"), "shipments", typical.alias("typical_cents"))
+
+
+ALIASES = "case p_partkey % 4 when 0 then concat(' ', p_name, ' (', p_type, ')') when 1 then concat(upper(p_name), '__', p_type) when 2 then concat(p_name, '-./', p_type, chr(9)) else concat('(', p_type, ') / ', p_name) end"
+
+
+@query(f"select trim(regexp_replace(lower({ALIASES}), '[ \\t_./()-]+', ' ', 'g')) as key, count(*) as parts, min(p_partkey) as first from part group by 1")
+def alias_keys(spark, d):
+    """Names of parts, written in four ways, by the key under which column names are compared."""
+    named = st.read(spark, d, "part").select("p_partkey", alias_key(F.expr(ALIASES)).alias("key"))
+    return named.groupBy("key").agg(F.count("*").alias("parts"), F.min("p_partkey").alias("first"))

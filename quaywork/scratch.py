@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 PREFIX = "quaywork-"
+#: Tables that were written and not removed yet.
+_paths: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -29,5 +31,19 @@ def written(rows: DataFrame) -> DataFrame:
     """``rows`` as a table of its own in the shared folder, read back."""
     spark = rows.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{PREFIX}{uuid.uuid4().hex}"
+    _paths.append(path)
     rows.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+def written_paths() -> list[str]:
+    """Folders of the tables that exist now."""
+    return list(_paths)
+
+
+def remove_written(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables; no DataFrame that reads them may be used afterwards."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _paths.remove(path)

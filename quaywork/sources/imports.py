@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import canonical as ca
 from ..operators import importing as im
-from ..scratch import written
+from ..operators.snapshot import snapshot_lines, snapshot_sections
+from ..scratch import remove_written, written, written_paths
 from .formats import FormatRegistry, standard_formats
-from .store import VersionedStore
+from .store import TABLES, SecondWriter, VersionedStore
 
 KEYS = {"inventory": (["sku", "warehouse"], 'SKU + warehouse "{} @ {}"'), "shipments": (["shipment_id"], 'shipment ID "{}"')}
 
@@ -88,3 +91,26 @@ def import_file(
 def reset(store: VersionedStore, inventory: DataFrame, shipments: DataFrame) -> int:
     """Puts the sample back in place of both tables; can't be undone."""
     return store.replace_for_good(inventory=inventory, shipments=shipments)
+
+
+def status(store: VersionedStore) -> dict[str, object]:
+    """The store's version and which tables it has."""
+    return {"version": store.version(), "tables": [t for t in TABLES if store.read(t) is not None]}
+
+
+def snapshot_of(store: VersionedStore, locations: DataFrame, today: date) -> DataFrame:
+    """section and value: the snapshot of the store's current version on a day, made once for both and then read."""
+    version, tables = store.version(), [store.read(t) for t in TABLES]
+    if None in tables:
+        raise ValueError("the store hasn't both tables yet")
+    place = f"{store.path}/snapshots/{version:012d}-{today:%Y-%m-%d}"
+    if not store.exists(place):
+        before = written_paths()
+        made = f"{store.path}/new/snapshot-{version}-{uuid.uuid4().hex}"
+        snapshot_lines(snapshot_sections(*tables, locations, today)).write.partitionBy("section").text(made)
+        remove_written(store.spark, [p for p in written_paths() if p not in before])
+        try:
+            store.move(made, place)
+        except SecondWriter:
+            pass  # the same snapshot, made beside this one
+    return store.spark.read.text(place).select("section", "value")

@@ -43,11 +43,15 @@ class VersionedStore:
         row = self.spark.createDataFrame([(version, *[folders.get(t) for t in TABLES], undoable)], LOG)
         made, place = f"{self.path}/new/{uuid.uuid4().hex}", f"{self.path}/log/{version:012d}"
         row.coalesce(1).write.parquet(made)
-        self._move(made, place)
+        self.move(made, place)
         return version
 
-    def _move(self, made: str, place: str) -> None:
-        """Moves a folder to a new place, all at once or not at all."""
+    def exists(self, place: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def move(self, made: str, place: str) -> None:
+        """Moves a folder to a new place, all at once or not at all; ``SecondWriter`` if the place is taken."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs
         path = hadoop.Path(place)
         conf = self.spark._jsc.hadoopConfiguration()

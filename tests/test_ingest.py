@@ -152,6 +152,36 @@ def test_a_second_writer_of_a_version_is_refused(spark, tmp_path):
     assert store.version() == 2 and store.read("shipments") is None
 
 
+def test_the_snapshot_of_a_version(spark, tmp_path):
+    import json
+    from datetime import date
+
+    from quaywork.operators import snapshot as sn
+
+    store = VersionedStore(spark, str(tmp_path / "store"))
+    places = spark.createDataFrame([("WH-1", "Hub One DC", "warehouse", 30.0, -90.0, 10, 0), ("C1", "City", "city", 31.0, -95.0, None, 1)], "code string, name string, kind string, lat double, lon double, capacity_units long, _ord int")
+    stock = spark.createDataFrame([("AAA", "Nut", "Parts", "WH-1", 12, 2, 150, 1.0, 14)], "sku string, product_name string, category string, warehouse string, quantity long, reorder_point long, unit_cost_cents long, avg_daily_usage double, lead_time_days int")
+    sent = spark.createDataFrame([("S1", "WH-1", "C1", "C", "delivered", date(2026, 1, 1), date(2026, 1, 3), date(2026, 1, 5), 500)], "shipment_id string, origin string, destination string, carrier string, status string, ship_date date, estimated_delivery date, actual_delivery date, shipping_cost_cents long")
+    store.replace(inventory=stock)
+    assert imports.status(store) == {"version": 1, "tables": ["inventory"]}
+    with pytest.raises(ValueError, match="both tables"):
+        imports.snapshot_of(store, places, date(2026, 1, 10))
+    store.replace(shipments=sent)
+    rows = imports.snapshot_of(store, places, date(2026, 1, 10)).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r.section, []).append(json.loads(r.value))
+    assert set(found) == {"inventory", "shipments", "alerts", "kpis", "metrics", "utilization", "value_by_warehouse", "value_by_category", "shipments_by_status", "cost_by_month", "ontime_by_month", "lanes", "locations"}
+    assert found["kpis"][0]["late"] == 1 and found["shipments"][0]["days_late"] == 2 and found["shipments"][0]["cost_method"] == "none" and found["utilization"][0]["utilization"] == 1.2
+    assert {a["type"] for a in found["alerts"]} >= {"shipment_delayed", "invalid_data"} and found["metrics"][0]["supply"]["items"] == 1
+    made = sn.snapshot_sections
+    try:
+        sn.snapshot_sections = imports.snapshot_sections = None  # a second call reads what the first one made
+        assert imports.snapshot_of(store, places, date(2026, 1, 10)).count() == len(rows)
+    finally:
+        sn.snapshot_sections = imports.snapshot_sections = made
+
+
 def test_header_problems():
     assert im.header_problems([" SKU", "sku"], im.inventory_columns([])) == [("DUPLICATE_COLUMNS", 'Column "sku" appears more than once.')]
     assert im.header_problems(["Shipment-ID"], im.SHIPMENT_COLUMNS)[0][1].startswith("Missing required column(s): origin, destination") and im.header_problems([], im.SHIPMENT_COLUMNS)[0][1].endswith("Found columns: (none).")

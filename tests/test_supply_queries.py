@@ -12,7 +12,7 @@ import_inventory_issues import_shipment_issues import_first_issues import_refuse
 number_preset_marked date_preset_ambiguous currency_decision status_words location_summary column_profile shipment_figures lane_labels
 transit_dots import_impact snapshot_json
 flatten_records flatten_children flatten_grandchildren structural_rows excluded_counts cooked_cells dry_run_problems problems_csv cooked_accepted canonical_file
-spelling_pairs event_draws snapshot metrics_whole import_gate number_decisions date_decisions currency_decisions pages mapped_lanes""".split()
+spelling_pairs event_draws snapshot metrics_whole import_gate number_decisions date_decisions currency_decisions pages mapped_lanes reference_lanes alias_keys idle_items""".split()
 
 
 @pytest.fixture(scope="module")
