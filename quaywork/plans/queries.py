@@ -45,8 +45,14 @@ def shipments(spark, d):
     return enrich_shipments(st.shipments(spark, d), st.locations(spark, d), st.TODAY)
 
 
-def assessed(spark, d):
-    return assess_costs(written(shipments(spark, d)))
+#: What the assessment of costs needs of enriched shipments.
+PRICED = ("shipment_id", "route_key", "carrier", "status", "shipping_cost_cents", "distance_miles")
+
+
+def assessed(spark, d, *columns):
+    """Shipments with costs assessed; with ``columns`` only those beside what costs need, so that no others are made and written."""
+    rows = shipments(spark, d)
+    return assess_costs(written(rows.select(*dict.fromkeys([*PRICED, *columns])) if columns else rows))
 
 
 def utilization(spark, d):
@@ -204,17 +210,17 @@ def distance_by_lane(spark, d):
 
 @query(f"with {st.COSTS_SQL} select shipment_id, cost_method, cost_peers, baseline_cents, score_hundredths, is_cost_anomaly from assessed")
 def cost_assessment(spark, d):
-    return assessed(spark, d).select("shipment_id", "cost_method", "cost_peers", "baseline_cents", scaled("cost_score", 100).alias("score_hundredths"), "is_cost_anomaly")
+    return assessed(spark, d, *PRICED).select("shipment_id", "cost_method", "cost_peers", "baseline_cents", scaled("cost_score", 100).alias("score_hundredths"), "is_cost_anomaly")
 
 
 @query(f"with {st.COSTS_SQL} select shipment_id, route_key, carrier, cast(shipping_cost_cents as bigint) as shipping_cost_cents, cost_method, baseline_cents from assessed where is_cost_anomaly")
 def cost_anomalies(spark, d):
-    return assessed(spark, d).where("is_cost_anomaly").select("shipment_id", "route_key", "carrier", "shipping_cost_cents", "cost_method", "baseline_cents")
+    return assessed(spark, d, *PRICED).where("is_cost_anomaly").select("shipment_id", "route_key", "carrier", "shipping_cost_cents", "cost_method", "baseline_cents")
 
 
 @query(f"with {st.COSTS_SQL} select cost_method, count(*) as shipments, count_if(is_cost_anomaly) as anomalies, cast(coalesce(sum(score_hundredths), 0) as bigint) as score_hundredths from assessed group by 1")
 def cost_method_counts(spark, d):
-    return assessed(spark, d).groupBy("cost_method").agg(F.count("*").alias("shipments"), F.count_if("is_cost_anomaly").alias("anomalies"), F.coalesce(F.sum(scaled("cost_score", 100)), F.lit(0)).alias("score_hundredths"))
+    return assessed(spark, d, *PRICED).groupBy("cost_method").agg(F.count("*").alias("shipments"), F.count_if("is_cost_anomaly").alias("anomalies"), F.coalesce(F.sum(scaled("cost_score", 100)), F.lit(0)).alias("score_hundredths"))
 
 
 def _months_sql(source: str, measures: str, zeros: str) -> str:
@@ -295,7 +301,7 @@ def delayed_lanes(spark, d):
 
 @query(f"with {st.COSTS_SQL}{ROUTES_SQL.removeprefix(st.SHIPMENTS_SQL)} select route_key, shipments, average_cost_cents from routes where {LANE} and route_key in (select route_key from assessed where is_cost_anomaly and status <> 'cancelled')")
 def lanes_with_anomaly(spark, d):
-    return se.listed_lanes(routes(spark, d), "cost", assessed(spark, d)).select("route_key", "shipments", "average_cost_cents")
+    return se.listed_lanes(routes(spark, d), "cost", assessed(spark, d, *PRICED)).select("route_key", "shipments", "average_cost_cents")
 
 
 @query(f"with {st.SHIPMENTS_SQL} select shipment_id, case when status = 'delivered' then actual_delivery else ship_date end as activity_date, delivery_state from shipments where activity_date <= date '1998-07-01' order by activity_date desc, shipment_id limit 10")
@@ -458,7 +464,7 @@ OVERBILLING = "select carrier, cast(sum(shipping_cost_cents - baseline_cents) as
 
 @query(f"with {st.COSTS_SQL} {OVERBILLING}")
 def carrier_overbilling(spark, d):
-    return at.carrier_overbilling(assessed(spark, d))
+    return at.carrier_overbilling(assessed(spark, d, *PRICED))
 
 
 BILLED = f"""select 'billing:' || carrier as key, case when critical then 'critical' else 'warning' end as tone, cents, cast(null as double) as days, shipments, {natural_sql('carrier')} as sort_key,
@@ -468,7 +474,7 @@ BILLED = f"""select 'billing:' || carrier as key, case when critical then 'criti
 
 @query(f"with {st.COSTS_SQL} select key, tone, cents, shipments, what, action from ({BILLED})")
 def billing_candidates(spark, d):
-    return at.billing_candidates(at.carrier_overbilling(assessed(spark, d))).select("key", "tone", "cents", "shipments", "what", "action")
+    return at.billing_candidates(at.carrier_overbilling(assessed(spark, d, *PRICED))).select("key", "tone", "cents", "shipments", "what", "action")
 
 
 LATE = "select carrier, count(*) as shipments, cast(min(days_late) as integer) as min_days, cast(max(days_late) as integer) as max_days, min(shipment_id) as first_id from shipments where delivery_state = 'overdue' and days_late >= 7 group by 1"
@@ -497,7 +503,7 @@ union all select cast((select count(*) from shown) + 1 as integer), 'late:' || c
     else carrier || ' has ' || {count_sql('shipments')} || ' shipments ' || case when min_days = max_days then {count_sql('max_days')} else {count_sql('min_days')} || ' to ' || {count_sql('max_days')} end || ' days late' end,
   null, case shipments when 1 then 'Ask for a new date' else 'Ask for new dates' end from late""")
 def action_queue(spark, d):
-    return at.action_queue(inventory(spark, d), assessed(spark, d), st.locations(spark, d)).select("rank", "key", "tone", "cents", "what", "damage", "action")
+    return at.action_queue(inventory(spark, d), assessed(spark, d, "delivery_state", "days_late"), st.locations(spark, d)).select("rank", "key", "tone", "cents", "what", "damage", "action")
 
 
 @query(f"with {st.COSTS_SQL} select shipment_id, status from assessed where (contains(lower(origin), 'na') or contains(lower(destination), 'na') or contains(lower(shipment_id), 'na') or contains(lower(carrier), 'na') or contains(lower(route_label), 'na')) and (contains(lower(origin), 'carrier') or contains(lower(destination), 'carrier') or contains(lower(shipment_id), 'carrier') or contains(lower(carrier), 'carrier') or contains(lower(route_label), 'carrier'))")
