@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..constants import STATUSES
 from .dates import iso_day
-from .text import BLANK, clipped, has_control, trimmed
+from .text import BLANK, clipped, has_control, is_ascii, trimmed
 
 Problem = tuple[Column, str, Column]
 
@@ -47,7 +47,7 @@ def plain_text(most: int, collapse: bool = False) -> Parser:
     def parse(raw: Column) -> Parsed:
         text = F.regexp_replace(raw, f"{BLANK}+", " ") if collapse else raw
         # lengths count as UTF-16 units: characters above the basic plane are two
-        length = F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
+        length = F.when(is_ascii(text), F.length(text)).otherwise(F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", "")))
         return Parsed(text, [(length > most, "TOO_LONG", F.lit(f"Value exceeds {most} characters."))])
 
     return parse

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ACCENTED, BASE, trimmed
+from .text import is_ascii, trimmed, unaccented
 
 # What stands for "no value", currency marks, and the ways of writing numbers and dates.
 PLACEHOLDERS = ("n/a", "na", "n.a.", "#n/a", "null", "none", "-", "--", "–", "—")
+#: Placeholders in every mix of cases, so that no cell need be lowered.
+PLACEHOLDER_FORMS = tuple(sorted({"".join(x) for p in PLACEHOLDERS for x in product(*[{c.lower(), c.upper()} for c in p])}))
 CURRENCIES = (
     "€", "£", "¥", "₫", "₹", "₩", "₽", "฿", "₺", "₪", "₱", "eur", "gbp", "jpy", "vnd", "inr", "cny", "krw", "cad", "aud", "chf", "mxn", "brl",
     "sek", "nok", "dkk", "pln", "czk", "huf", "try", "aed", "sgd", "hkd", "nzd", "zar", "thb", "idr", "myr", "php",
@@ -44,7 +47,13 @@ _DAYS = {
 
 def blank_kind(text: Column) -> Column:
     """``blank``, ``placeholder``, or null for real content."""
-    return F.when(trimmed(text) == "", "blank").when(F.lower(trimmed(text)).isin(*PLACEHOLDERS), "placeholder")
+    bare = trimmed(text)
+    return F.when(bare == "", "blank").when(is_placeholder(bare), "placeholder")
+
+
+def is_placeholder(bare: Column) -> Column:
+    """Whether a trimmed text stands for "no value"."""
+    return bare.isin(*PLACEHOLDER_FORMS)
 
 
 def marked_number(text: Column) -> tuple[Column, Column]:
@@ -52,6 +61,7 @@ def marked_number(text: Column) -> tuple[Column, Column]:
 
     Both are null where marks stand at both ends or the mark is no currency's.
     """
+    unmarked = text.rlike(r"^[0-9.,\-]*\z")  # most cells; the rest is then not worked out
     negative = F.startswith(text, F.lit("-"))
     body = F.when(negative, F.substring(text, 2, 1 << 20)).otherwise(text)
     head, tail = F.regexp_extract(body, f"^({_MARK})", 1), F.regexp_extract(body, rf"({_MARK})\z", 1)
@@ -61,7 +71,7 @@ def marked_number(text: Column) -> tuple[Column, Column]:
     mark = F.when(low.isin("$", "usd"), "USD").when(low.isin(*CURRENCIES), F.upper(token))
     fit = ((head == "") | (tail == "")) & rest.rlike(r"\d") & ~F.startswith(rest, F.lit("-")) & mark.isNotNull()
     plain = (head == "") & (tail == "")
-    return F.when(plain, text).when(fit, F.concat(F.when(negative, "-").otherwise(""), rest)), F.when(fit, mark)
+    return F.when(unmarked | plain, text).when(fit, F.concat(F.when(negative, "-").otherwise(""), rest)), F.when(unmarked, None).when(fit, mark)
 
 
 def plain_number(text: Column, preset: str) -> Column:
@@ -81,18 +91,17 @@ def number(text: Column, preset: str, money: bool = True) -> Column:
 def date_text(text: Column, preset: str) -> Column:
     """A real day written by ``preset``, with or without a time of day, as YYYY-MM-DD; null for anything else."""
     day, (y, m, d) = _DAYS[preset]
-    whole = rf"^{day}(?:{'(?:T|\\s+)' if preset == 'iso' else '\\s+'}{_TIME})?\z"
+    whole = rf"^{day}(?:{'(?:T|\\s+)' if preset == 'iso' else '\\s+'}{_TIME})?\z".replace(r"(\d{4})", r"((?!0000)\d{4})")  # there is no year 0
     bare = trimmed(text)
-    parts = F.split(F.regexp_replace(bare, whole, f"${y}-${m}-${d}"), "-")
-    at = lambda i: F.lpad(F.get(parts, F.lit(i)), 2, "0")
-    found = F.concat_ws("-", F.get(parts, F.lit(0)), at(1), at(2))
-    return F.when(bare.rlike(whole) & F.try_to_date(found, "yyyy-MM-dd").isNotNull(), found)
+    # casts, for a parser with a pattern throws and catches at every day that isn't real
+    return F.when(bare.rlike(whole), F.regexp_replace(bare, whole, f"${y}-${m}-${d}").try_cast("date").cast("string"))
 
 
 def value_key(text: Column) -> Column:
     """How source values are compared: case, Latin accents, separators and punctuation ignored."""
     # fixed values: letters that have no base letter, separators that count as a space, and what stays
-    low = F.lower(F.translate(text, ACCENTED, BASE))
-    plain = reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), [("ß", "ss"), ("æ", "ae"), ("œ", "oe")], F.translate(low, "đøł", "dol"))
+    low = F.lower(unaccented(text))
+    based = reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), [("ß", "ss"), ("æ", "ae"), ("œ", "oe")], F.translate(low, "đøł", "dol"))
+    plain = F.when(is_ascii(text), F.lower(text)).otherwise(based)
     words = F.regexp_replace(F.regexp_replace(plain, r"[_\-./\\\u2010-\u2015\u2212]+", " "), r"[^\p{L}\p{N} ]+", "")
     return F.trim(F.regexp_replace(words, r"\s+", " "))

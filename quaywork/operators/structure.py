@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.presets import blank_kind, value_key
 from ..functions.text import trimmed
+from ..scratch import written
 
 # Words that begin a row of totals, as value keys.
 TOTAL_WORDS = ("grand total", "sub total", "subtotal", "total general", "total", "gesamtsumme", "gesamt", "summe", "tong cong", "tong so", "tong", "totale", "suma", "somme")
@@ -47,22 +48,33 @@ def structural_rows(raw: DataFrame, header_line: int) -> DataFrame:
     kind: ``repeated-header`` (at least 80 % of a header of two columns or more), ``total`` (begins with a total's word, and a
     later cell is a number) or ``footer`` (rows of one filled cell at the end of a table of three columns or more). label is the first
     filled cell, shortened. Rows without content are none of these. No rows below the header: none.
+
+    The raw table is read once, when this is called: rows that are or may be structure are written, of all others the last line is.
     """
     keys = header_keys(raw, header_line)
     cells = F.col("cells")
     number = lambda c: trimmed(c).rlike(r"^[-+$€£]?\s?\d[\d.,\s]*\z") & blank_kind(c).isNull()
-    rows = raw.where(F.col("line") > header_line).select("line", "cells", _filled(cells).alias("filled"), _keys(cells).alias("keys")).where(F.size("filled") > 0)
+    rows = raw.where(F.col("line") > header_line).select("line", "cells", _filled(cells).alias("filled"))
+    lettered = lambda c: c.rlike(r"\p{L}")
+    least = math.ceil(len(keys) * REPEATED_SHARE)
+    # cells without a letter fit no header's words and no total's, so keys are made where there are letters
+    worded = F.size(F.filter(cells, lettered)) >= max(2, least) if all(any(x.isalpha() for x in k) for k in keys) else F.lit(True)
     known = F.size(F.filter("keys", lambda k: k.isin(*keys))) if keys else F.lit(0)
-    repeats = F.lit(len(keys) >= 2) & (F.size("keys") >= 2) & (known >= math.ceil(len(keys) * REPEATED_SHARE))
-    first = value_key(F.get("filled", F.lit(0)))
-    total = first.rlike(f"^({'|'.join(TOTAL_WORDS)})( |$)") & F.exists(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), number)
-    found = rows.select("line", "filled", F.when(repeats, "repeated-header").when(total, "total").alias("kind"))
-    out = found.where("kind is not null")
-    if len(keys) >= FOOTER_COLUMNS:
-        body = found.agg(F.coalesce(F.max(F.when(F.col("kind").isNull() & (F.size("filled") > 1), F.col("line"))), F.lit(header_line)).alias("body_end"))  # one row
-        footer = found.crossJoin(F.broadcast(body)).where(F.col("kind").isNull() & (F.col("line") > F.col("body_end")))
-        out = out.unionByName(footer.select("line", "filled", F.lit("footer").alias("kind")))
-    return out.select("line", "kind", _label(F.col("filled")).alias("label"))
+    repeats = F.lit(len(keys) >= 2) & (F.size("keys") >= 2) & (known >= least)
+    first = F.get(F.col("filled"), F.lit(0))
+    total = value_key(first).rlike(f"^({'|'.join(TOTAL_WORDS)})( |$)") & F.exists(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), number)
+    keyed = rows.select("line", "cells", "filled", F.when(worded, _keys(cells)).alias("keys"))
+    kind = F.when(F.when(F.col("keys").isNotNull(), repeats), "repeated-header").when(F.when(lettered(first), total), "total")
+    told = keyed.select("line", kind.alias("kind"), F.size("filled").alias("n"), _label(F.col("filled")).alias("label"))
+    footers = len(keys) >= FOOTER_COLUMNS
+    maybe = F.col("kind").isNotNull() | (F.lit(footers) & (F.col("n") == 1))
+    body = F.col("kind").isNull() & (F.col("n") > 1)
+    split = told.select(F.when(maybe & (F.col("n") > 0), F.struct("line", "kind", "label")).alias("row"), F.when(body, F.col("line")).alias("body"))
+    seen = written(split.groupBy("row").agg(F.max("body").alias("body"), F.count("*").alias("times")))
+    body_end = F.broadcast(seen.agg(F.coalesce(F.max("body"), F.lit(header_line)).alias("body_end")))  # one row
+    found = seen.where("row is not null").crossJoin(body_end).where(F.col("row.kind").isNotNull() | (F.col("row.line") > F.col("body_end")))
+    out = found.select(F.inline(F.array_repeat("row", F.col("times").cast("int"))))
+    return out.select("line", F.coalesce("kind", F.lit("footer")).alias("kind"), "label")
 
 
 def apply_structure(raw: DataFrame, header_line: int, found: DataFrame, excluded: DataFrame | None = None) -> tuple[list[str], DataFrame, DataFrame]:

@@ -198,3 +198,15 @@ def test_other_locations_change_what_is_mapped(spark):
     none = enrich_shipments(sent, where(("ZZ", "Elsewhere", "city", 1.0, 3.0, None, 0)), date(2026, 1, 2)).first()
     assert known.route_key == "WH-1>C1" and known.distance_miles is not None
     assert none.route_key == "HUB ONE>C1" and none.distance_miles is None
+
+
+def _plan(rows) -> str:
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_structural_rows_read_the_table_once(spark):
+    """What is returned reads the rows that were written, not the table again for each kind."""
+    raw = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["1", "2", "3"]), (3, ["A", "b", "C"]), (4, ["total", "", "5"]), (5, ["1", "2", ""]), (6, ["note", "", ""])], "line long, cells array<string>")
+    found = sr.structural_rows(raw, 1)
+    assert "LogicalRDD" not in _plan(found) and "LocalRelation" not in _plan(found)
+    assert [tuple(r) for r in found.orderBy("line").collect()] == [(3, "repeated-header", "A"), (4, "total", "total"), (6, "footer", "note")]
