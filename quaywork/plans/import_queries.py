@@ -40,7 +40,7 @@ SHIPMENT_CELLS = [
 
 def raw_inventory(spark, d, clean: bool = False):
     """line, cells of every part at its warehouses; some rows are short, some too long. Without mistakes if ``clean``."""
-    rows = st.read(spark, d, "part").selectExpr("p_partkey as p", "p_name as name", "p_type as kind", "explode(sequence(0, 4)) as w").where("p % 5 <> w")
+    rows = st.parts(spark, d).selectExpr("p_partkey as p", "p_name as name", "p_type as kind", "explode(sequence(0, 4)) as w").where("p % 5 <> w")
     if clean:
         cells = ["concat('P-', p)", "name", "kind", *[c.rpartition("else ")[2].removesuffix(" end") for c in INVENTORY_CELLS[3:]]]
         return rows.selectExpr("p * 5 + w + 2 as line", f"array({', '.join(cells)}) as cells")

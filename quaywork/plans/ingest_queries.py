@@ -204,7 +204,7 @@ STOCK_CELLS = [
 
 
 def stock_words(spark, d):
-    rows = st.read(spark, d, "part").selectExpr("p_partkey as p", "p_name as name", "explode(sequence(0, 4)) as w").where("p % 5 <> w")
+    rows = st.parts(spark, d).selectExpr("p_partkey as p", "p_name as name", "explode(sequence(0, 4)) as w").where("p % 5 <> w")
     return rows.selectExpr("p * 5 + w + 2 as line", f"array({', '.join(STOCK_CELLS)}) as cells")
 
 
