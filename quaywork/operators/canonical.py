@@ -81,7 +81,7 @@ def plan(header: Sequence[str], columns: Sequence[im.Spec], column_map: Sequence
 def _number(raw: Column, preset: str, money: bool, optional: bool) -> Column:
     bare, mark = ps.marked_number(raw)
     read = F.when(F.coalesce(mark, F.lit("USD" if money else "")) == ("USD" if money else ""), ps.plain_number(bare, preset))
-    return F.coalesce(F.when(ps.blank_kind(raw) == "placeholder", "" if optional else raw), read, raw)
+    return F.coalesce(F.when(ps.is_placeholder(raw), "" if optional else raw), read, raw)
 
 
 def _chosen(rows: DataFrame, name: str, choices: DataFrame | None) -> DataFrame:
@@ -107,7 +107,7 @@ def cooked(raw: DataFrame, how: Plan, locations: DataFrame | None = None, choice
     found = F.when((F.size(cells) < how.width) | ((F.size(cells) > how.width) & beyond), F.size(cells))
     file = F.regexp_extract(F.col("file"), r"([^/]*)\z", 1) if "file" in raw.columns else F.lit(None).cast("string")
     source = lambda c: trimmed(F.coalesce(F.get(cells, F.lit(how.assignment[c])), F.lit(""))) if c in how.assignment else F.lit("")
-    rows = raw.select("line", file.alias("file"), found.alias("ragged"), *[source(c.name).alias(f"raw_{c.name}") for c in how.columns])
+    rows = raw.select("line", file.alias("file"), "cells", *[source(c.name).alias(f"raw_{c.name}") for c in how.columns])
     for name in ("status", "warehouse"):
         if name in how.assignment:
             rows = _chosen(rows, name, choices.get(name))
@@ -124,14 +124,15 @@ def cooked(raw: DataFrame, how: Plan, locations: DataFrame | None = None, choice
         if kind in ("number", "money"):
             return _number(text, how.number_preset, kind == "money", optional)
         if kind == "date":
-            return F.coalesce(F.when(ps.blank_kind(text) == "placeholder", "" if optional else text), ps.date_text(text, how.date_preset_of(name)), text)
+            return F.coalesce(F.when(ps.is_placeholder(text), "" if optional else text), ps.date_text(text, how.date_preset_of(name)), text)
         if kind == "status":
             return F.coalesce("status_choice", F.try_element_at(words, ps.value_key(text)), text)
         if kind == "warehouse":
             return F.coalesce("warehouse_choice", "warehouse_known", text)
-        return F.when((ps.blank_kind(text) == "placeholder") & F.lit(optional), "").otherwise(text)
+        return F.when(ps.is_placeholder(text), "").otherwise(text) if optional else text
 
-    done = rows.select("line", "file", "ragged", *[cell(c.name).alias(f"cell_{c.name}") for c in how.columns], *[f"raw_{c.name}" for c in how.columns])
+    # ragged has a lambda, which keeps this projection out of whole-stage code: all cells in one method are too long for the JVM to compile
+    done = rows.select("line", "file", found.alias("ragged"), *[cell(c.name).alias(f"cell_{c.name}") for c in how.columns], *[f"raw_{c.name}" for c in how.columns])
     both = F.struct(*[F.array(*[F.col(f"{kind}_{c.name}") for c in how.columns]).alias(name) for kind, name in (("cell", "canonical"), ("raw", "raws"))])
     # a generator of one row keeps the optimizer from writing a cell's whole expression wherever the cell is used
     made = done.select("line", "file", "ragged", F.inline(F.array(both)))
@@ -162,7 +163,7 @@ def problems(rows: DataFrame, how: Plan) -> DataFrame:
     """
     kind = F.coalesce(*[F.when(F.col("column") == n, k) for n, k in KINDS.items()])
     quoted = lambda text: F.concat(F.lit('"'), clipped(text, MOST_SHOWN), F.lit('"'))
-    flat = rows.select("line", "place", "canonical", "raws", "n_cells", F.explode("problems").alias("p")).select("line", "place", "canonical", "raws", "n_cells", "p.*")
+    flat = im.exploded(rows, "line", "place", "canonical", "raws", "n_cells").select("line", "place", "canonical", "raws", "n_cells", "p.*")
     flat = flat.withColumns({"text": F.get("canonical", F.col("column_order")), "written": F.get("raws", F.col("column_order")), "kind": kind})
     changed = (F.col("written") != "") & (F.col("written") != F.col("text"))
     said = F.when(changed, F.replace("message", quoted(F.col("text")), quoted(F.col("written")))).otherwise(F.col("message"))

@@ -1,7 +1,7 @@
 """Strict import of raw tables: every row's fields parsed, every problem listed, all rows or none.
 
-A raw table has a line number and its cells as an array, for rows may be ragged. Checking is one pass over the rows; only
-keys that stand on several lines are joined back. Nothing is collected: the gate is a one-row aggregate.
+A raw table has a line number and its cells as an array, for rows may be ragged. Checking is one pass over the rows, dealt by
+key. Nothing is collected but whether a table has any problem.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_LEAD_DAYS, MAX_ISSUES_SHOWN
@@ -96,17 +96,18 @@ def checked(raw: DataFrame, header: Sequence[str], columns: Sequence[Spec], key:
         return F.struct(F.lit(order).alias("column_order"), column.alias("column"), code.alias("code"), message.alias("message"))
 
     count = F.struct(F.lit("FIELD_COUNT").alias("code"), F.format_string(f"Expected {width} fields but found %d.", F.size(cells)).alias("message"))
-    out = raw.select("line", *carry, "cells", ragged.alias("ragged"), *[v.alias(f"{n}_value") for n, (v, _) in parsed.items()], *[p.alias(f"{n}_problem") for n, (_, p) in parsed.items()])
-    whole = ~F.col("ragged")
-    readable = whole
+    readable = ~ragged
     for k in key:
-        readable = readable & F.col(f"{k}_problem").isNull()
-    shown = F.format_string(duplicate.replace("{}", "%s"), *[F.col(f"{k}_value") for k in key])
-    out = out.withColumn("key", F.when(readable, shown))
-    repeated = out.where("key is not null").groupBy("key").agg(F.min("line").alias("first_line"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # rows without a key have a seat of their own each, so that they aren't dealt to one task
-    seat = F.coalesce("key", F.concat(F.lit("\0"), F.col("line").cast("string")))
-    out = out.withColumn("seat", seat).join(repeated.withColumnRenamed("key", "seat"), "seat", "left")
+        readable = readable & parsed[k][1].isNull()
+    told = duplicate.split("{}")
+    shown = F.concat(F.lit(told[0]), *[x for k, rest in zip(key, told[1:], strict=True) for x in (F.coalesce(parsed[k][0].cast("string"), F.lit("null")), F.lit(rest))])
+    # rows are dealt by key as they came, before the other fields are parsed, and once; those without a key by their line
+    keyed = raw.select("line", *carry, "cells", F.when(readable, shown).alias("key"))
+    seat = F.when(F.col("key").isNotNull(), F.xxhash64("key")).otherwise(F.xxhash64("line"))
+    same = Window.partitionBy("seat", "key").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    dealt = keyed.withColumn("seat", seat).withColumn("first_line", F.when(F.col("key").isNotNull(), F.min("line").over(same)))
+    out = dealt.select("line", *carry, "cells", "key", "first_line", ragged.alias("ragged"), *[v.alias(f"{n}_value") for n, (v, _) in parsed.items()], *[p.alias(f"{n}_problem") for n, (_, p) in parsed.items()])
+    whole = ~F.col("ragged")
     own = [F.when(F.col(f"{c.name}_problem").isNotNull(), of_row(i, F.lit(c.name), F.col(f"{c.name}_problem.code"), F.col(f"{c.name}_problem.message"))) for i, c in enumerate(columns)]
     first = next(i for i, c in enumerate(columns) if c.name == key[0])
     again = F.when(F.col("line") > F.col("first_line"), of_row(first, F.lit(key[0]), F.lit("DUPLICATE_ID"), F.concat(F.lit("Duplicate "), F.col("key"), F.format_string(" (first seen on line %d).", F.col("first_line")))))
@@ -125,7 +126,12 @@ def check_shipments(raw: DataFrame, header: Sequence[str]) -> DataFrame:
 
 def issues(rows: DataFrame) -> DataFrame:
     """line, column_order, column, code, message of every problem."""
-    return rows.select("line", F.explode("problems").alias("p")).select("line", "p.*")
+    return exploded(rows, "line").select("line", "p.*")
+
+
+def exploded(rows: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and a problem, p, for every problem; the outer kind, for the optimizer puts a filter that parses all once more before the other."""
+    return rows.select(*columns, F.explode_outer("problems").alias("p")).where("p is not null")
 
 
 def first_issues(rows: DataFrame, most: int = MAX_ISSUES_SHOWN) -> DataFrame:
@@ -136,9 +142,9 @@ def first_issues(rows: DataFrame, most: int = MAX_ISSUES_SHOWN) -> DataFrame:
 
 
 def accepted(rows: DataFrame) -> DataFrame:
-    """The parsed rows if no row of the table has a problem, else none."""
-    gate = F.broadcast(rows.agg(F.coalesce(F.bool_or(F.size("problems") > 0), F.lit(False)).alias("refused")))  # one row
-    return rows.crossJoin(gate).where("not refused").select("row.*")
+    """The parsed rows if no row of the table has a problem, else none; all rows are judged when this is called."""
+    refused = rows.agg(F.coalesce(F.bool_or(F.size("problems") > 0), F.lit(False)).alias("refused")).first()["refused"]
+    return rows.where(F.lit(not refused)).select("row.*")
 
 
 def issue_counts(rows: DataFrame) -> DataFrame:

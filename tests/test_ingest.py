@@ -210,3 +210,20 @@ def test_structural_rows_read_the_table_once(spark):
     found = sr.structural_rows(raw, 1)
     assert "LogicalRDD" not in _plan(found) and "LocalRelation" not in _plan(found)
     assert [tuple(r) for r in found.orderBy("line").collect()] == [(3, "repeated-header", "A"), (4, "total", "total"), (6, "footer", "note")]
+
+
+def test_rows_are_parsed_once_for_their_problems(spark):
+    """No filter on all of a row's problems stands before they are told apart, no join brings their keys back."""
+    raw = spark.createDataFrame([(i, [k, "a", "b", "c", "pending", "2020-01-02", "", "", "5"]) for i, k in [(4, "abc-1"), (2, "ABC-1"), (3, "x"), (5, "x"), (7, "abc-1")]], "line long, cells array<string>")
+    rows = im.check_shipments(raw, [c.name for c in im.SHIPMENT_COLUMNS])
+    plan = _plan(im.issues(rows))
+    assert "Join" not in plan and "size(problems" not in plan and plan.count("INVALID_STATUS") == 1
+    found = {(r["line"], r["code"], r["message"][-9:]) for r in im.issues(rows).where("code = 'DUPLICATE_ID'").collect()}
+    assert found == {(4, "DUPLICATE_ID", " line 2)."), (7, "DUPLICATE_ID", " line 2).")}
+    assert im.accepted(rows).count() == 0 and im.accepted(rows.where("line = 2")).count() == 1
+
+
+def test_a_small_file_of_parts_is_dealt_to_all_tasks(spark):
+    from quaywork.plans import ingest_queries as iq
+
+    assert iq.stock_words(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
