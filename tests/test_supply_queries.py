@@ -28,3 +28,19 @@ def test_query_matches_its_sql(spark, con, name):
 
 def test_every_query_has_sql():
     assert set(supply.queries()) == set(supply.oracle_sql())
+
+
+def test_lines_are_dealt_once_by_order(spark):
+    """The aggregate of lines finds them where the join with orders left them, whatever is too large to broadcast."""
+    import re
+
+    from quaywork.plans import standins as st
+
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = st.shipments(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+    dealt = re.findall(r"Exchange hashpartitioning\((l_\w+)#\d+L?(, l_)?", plan)
+    assert dealt.count(("l_orderkey", "")) == 1 and ("l_orderkey", ", l_") not in dealt
