@@ -56,15 +56,16 @@ def is_placeholder(bare: Column) -> Column:
     return bare.isin(*PLACEHOLDER_FORMS)
 
 
-def marked_number(text: Column) -> tuple[Column, Column]:
-    """A trimmed text without its one currency mark at an end, and that mark (null if there is none).
-
-    Both are null where marks stand at both ends or the mark is no currency's.
-    """
-    unmarked = text.rlike(r"^[0-9.,\-]*\z")  # most cells; the rest is then not worked out
+def mark_ends(text: Column) -> dict[str, Column]:
+    """What ``marked`` works with: whether a trimmed text is negative, its body without the sign, what stands before and after digits."""
     negative = F.startswith(text, F.lit("-"))
     body = F.when(negative, F.substring(text, 2, 1 << 20)).otherwise(text)
-    head, tail = F.regexp_extract(body, f"^({_MARK})", 1), F.regexp_extract(body, rf"({_MARK})\z", 1)
+    return {"negative": negative, "body": body, "head": F.regexp_extract(body, f"^({_MARK})", 1), "tail": F.regexp_extract(body, rf"({_MARK})\z", 1)}
+
+
+def marked(text: Column, negative: Column, body: Column, head: Column, tail: Column) -> tuple[Column, Column]:
+    """``marked_number`` of a trimmed text and its ``mark_ends``, which it names many times."""
+    unmarked = text.rlike(r"^[0-9.,\-]*\z")  # most cells; the rest is then not worked out
     token = F.when(head != "", head).otherwise(tail)
     rest = F.when(head != "", F.regexp_replace(body, f"^{_MARK}[{SPACES}]?", "")).otherwise(F.regexp_replace(body, rf"[{SPACES}]?{_MARK}\z", ""))
     low = F.lower(token)
@@ -74,6 +75,14 @@ def marked_number(text: Column) -> tuple[Column, Column]:
     return F.when(unmarked | plain, text).when(fit, F.concat(F.when(negative, "-").otherwise(""), rest)), F.when(unmarked, None).when(fit, mark)
 
 
+def marked_number(text: Column) -> tuple[Column, Column]:
+    """A trimmed text without its one currency mark at an end, and that mark (null if there is none).
+
+    Both are null where marks stand at both ends or the mark is no currency's.
+    """
+    return marked(text, **mark_ends(text))
+
+
 def plain_number(text: Column, preset: str) -> Column:
     """A number without marks, written by ``preset``, as digits with a decimal point; null for anything else."""
     bare = text if preset == "plain" else F.translate(text, _GROUPS[preset], "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,25 +21,39 @@ STATUS_WORDS = {
 AMBIGUOUS_WORDS = ("arrived", "picked up", "loaded", "on hold", "exception", "delayed", "returned", "partially delivered", "closed", "rejected")
 
 
-def distinct_values(rows: DataFrame, column: str, order: str = "line") -> DataFrame:
-    """value, count and first (the lowest ``order``) of every trimmed text that isn't blank."""
-    text = trimmed(F.col(column))
-    return rows.select(text.alias("value"), F.col(order).alias("at")).where("value <> ''").groupBy("value").agg(F.count("*").alias("count"), F.min("at").alias("first"))
+def distinct_values(rows: DataFrame, column: str, order: str = "line", by: Sequence[str] = ()) -> DataFrame:
+    """value, count and first (the lowest ``order``) of every trimmed text that isn't blank; for each group of the columns ``by``."""
+    # equal texts are counted first; what comes after, filters of values too, is then not worked out for every row
+    raw = rows.groupBy(*by, F.col(column).alias("raw")).agg(F.count("*").alias("n"), F.min(order).alias("at"))
+    return _once(raw, {"value": trimmed(F.col("raw"))}).where("value <> ''").groupBy(*by, "value").agg(F.sum("n").alias("count"), F.min("at").alias("first"))
 
 
-def _decided(values: DataFrame, presets: Sequence[str], normal: Callable[[Column, str], Column]) -> DataFrame:
-    """One row (kind, preset, among, examined, unfit, distinct, touched) for ``values`` (value, count).
+def _once(rows: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """``rows`` with more columns, worked out once a row: the optimizer puts a projection's expressions wherever what follows
+    names them, and the code made of that can be too large to compile; it leaves what a generator gives alone."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
-    kind: none (nothing fits, or more than half of all don't), mixed (no preset fits every usable value), unique,
-    equivalent (several fit and say the same) or ambiguous. All values count; they are aggregated to one row.
+
+def _marked(values: DataFrame) -> DataFrame:
+    """``values`` with bare and mark, by ``marked_number``."""
+    ended = _once(_once(values, {"text": trimmed(F.col("value"))}), ps.mark_ends(F.col("text")))
+    bare, mark = ps.marked(*[F.col(c) for c in ("text", "negative", "body", "head", "tail")])
+    return _once(ended, {"bare": bare, "mark": mark}).drop("text", "negative", "body", "head", "tail")
+
+
+def _decided(real: DataFrame, normal: Mapping[str, Column], by: Sequence[str]) -> DataFrame:
+    """``by``, kind, preset, among, examined, unfit, distinct, touched of the values that aren't blank (value, count); one row without ``by``.
+
+    ``normal``: what each preset makes of a value. kind: none (nothing fits, or more than half of all don't), mixed (no preset fits
+    every usable value), unique, equivalent (several fit and say the same) or ambiguous. All values count; they are aggregated.
     """
-    real = values.where(ps.blank_kind(F.col("value")).isNull())
-    read = real.select("value", "count", *[normal(F.col("value"), p).alias(p) for p in presets])
+    presets = list(normal)
+    read = _once(real, normal)
     fits = F.coalesce(*[F.col(p) for p in presets]).isNotNull()
     all_fit = [F.bool_and(F.when(fits, F.col(p).isNotNull())).alias(f"{p}_fits") for p in presets]
     same = [F.bool_and(F.when(fits, F.col(p).eqNullSafe(F.col(q)))).alias(f"{p}_{q}") for i, p in enumerate(presets) for q in presets[i + 1 :]]
     touched = [F.coalesce(F.bool_or(F.when(fits, F.col(p) != F.col("value"))), F.lit(False)).alias(f"{p}_touched") for p in presets]
-    sums = read.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("examined"), F.coalesce(F.sum(F.when(~fits, F.col("count"))), F.lit(0)).alias("unfit"), F.count("*").alias("distinct"), *all_fit, *same, *touched)
+    sums = read.groupBy(*by).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("examined"), F.coalesce(F.sum(F.when(~fits, F.col("count"))), F.lit(0)).alias("unfit"), F.count("*").alias("distinct"), *all_fit, *same, *touched)
     common = F.array_compact(F.array(*[F.when(F.col(f"{p}_fits"), p) for p in presets]))
     agree = F.lit(True)
     for i, p in enumerate(presets):
@@ -51,30 +65,45 @@ def _decided(values: DataFrame, presets: Sequence[str], normal: Callable[[Column
     kind = F.when(~usable, "none").when(many == 0, "mixed").when(many == 1, "unique").when(agree, "equivalent").otherwise("ambiguous")
     out = out.withColumn("kind", kind).withColumn("preset", F.when(F.col("kind").isin("unique", "equivalent"), F.get("among", F.lit(0))))
     chosen = F.coalesce(*[F.when(F.col("preset") == p, F.col(f"{p}_touched")) for p in presets])
-    return out.select("kind", "preset", F.array_join("among", ",").alias("among"), "examined", "unfit", "distinct", F.coalesce(chosen, F.lit(False)).alias("touched"))
+    return out.select(*by, "kind", "preset", F.array_join("among", ",").alias("among"), "examined", "unfit", "distinct", F.coalesce(chosen, F.lit(False)).alias("touched"))
 
 
-def number_preset(values: DataFrame) -> DataFrame:
-    return _decided(values, ps.NUMBER_PRESETS, ps.number)
+def number_preset(values: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The preset that reads a column of numbers; ``by``: columns that tell one column's values from another's."""
+    real = values.where(ps.blank_kind(F.col("value")).isNull())
+    return _decided(_marked(real), {p: ps.plain_number(F.col("bare"), p) for p in ps.NUMBER_PRESETS}, by)
 
 
-def date_preset(values: DataFrame) -> DataFrame:
-    return _decided(values, ps.DATE_PRESETS, ps.date_text)
+def date_preset(values: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    real = values.where(ps.blank_kind(F.col("value")).isNull())
+    return _decided(real, {p: ps.date_text(F.col("value"), p) for p in ps.DATE_PRESETS}, by)
+
+
+def _currencies(values: DataFrame) -> DataFrame:
+    """``values`` with the mark of those that are numbers under some preset, null for others."""
+    read = F.coalesce(*[ps.plain_number(F.col("bare"), p) for p in ps.NUMBER_PRESETS])
+    return _marked(values).withColumn("mark", F.when(read.isNotNull(), F.col("mark")))
 
 
 def currency_scan(values: DataFrame) -> DataFrame:
     """mark and how many values carry it, of the values that are numbers under some preset."""
-    text = trimmed(F.col("value"))
-    bare, mark = ps.marked_number(text)
-    read = F.coalesce(*[ps.plain_number(F.col("bare"), p) for p in ps.NUMBER_PRESETS])
-    marked = values.select("count", bare.alias("bare"), mark.alias("mark")).where(F.col("mark").isNotNull() & read.isNotNull())
-    return marked.groupBy("mark").agg(F.sum("count").alias("values"))
+    return _currencies(values).where("mark is not null").groupBy("mark").agg(F.sum("count").alias("values"))
+
+
+def _judged(seen: DataFrame, by: Sequence[str]) -> DataFrame:
+    sums = seen.groupBy(*by).agg(F.array_sort(F.collect_set("mark")).alias("seen"))  # one for each currency
+    foreign = F.filter("seen", lambda m: m != "USD")
+    return sums.select(*by, F.when(F.size(foreign) == 0, "ok").when(F.size("seen") > 1, "mixed").otherwise("foreign").alias("kind"), F.array_join(foreign, ",").alias("marks"))
 
 
 def currency_decision(scan: DataFrame) -> DataFrame:
     """One row: ``ok`` if no mark but USD stands in the column, else ``foreign`` or (with others beside it) ``mixed``, and the marks."""
-    sums = scan.agg(F.array_sort(F.collect_set(F.when(F.col("mark") != "USD", F.col("mark")))).alias("marks"), F.count("*").alias("kinds"))  # one for each currency
-    return sums.select(F.when(F.size("marks") == 0, "ok").when(F.col("kinds") > 1, "mixed").otherwise("foreign").alias("kind"), F.array_join("marks", ",").alias("marks"))
+    return _judged(scan, ())
+
+
+def currency_decisions(values: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``currency_decision`` of each column that ``by`` tells from others, those without marks too."""
+    return _judged(_currencies(values), by)
 
 
 def status_map(values: DataFrame) -> DataFrame:
