@@ -29,3 +29,11 @@ def test_columns_are_decided_apart(spark):
     assert {tuple(r) for r in pr.currency_decisions(values, ["source"]).collect()} == {("a", "mixed", "EUR"), ("b", "ok", ""), ("c", "foreign", "€")}
     told = {r["source"]: (r["kind"], r["examined"], r["unfit"]) for r in pr.number_preset(values, ["source"]).collect()}
     assert told == {"a": ("equivalent", 4, 0), "b": ("equivalent", 1, 0), "c": ("equivalent", 3, 1)}
+
+
+def test_lanes_without_peers_are_not_joined(spark):
+    from quaywork.operators.shipments import cost_statistics
+
+    rows = [("A>B", "x", "delivered", c, 100.0) for c in range(100, 108)] + [("C>D", "x", "delivered", 5, 100.0)]
+    shipments = spark.createDataFrame(rows, "route_key string, carrier string, status string, shipping_cost_cents long, distance_miles double")
+    assert [r["route_key"] for r in cost_statistics(shipments)[0].collect()] == ["A>B"]
