@@ -31,6 +31,21 @@ def test_columns_are_decided_apart(spark):
     assert told == {"a": ("equivalent", 4, 0), "b": ("equivalent", 1, 0), "c": ("equivalent", 3, 1)}
 
 
+def test_a_page_is_cut_from_its_groups():
+    from quaywork.operators.alerts import groups_of_page
+
+    counts = {("info", "missing_info"): 9, ("critical", "shipment_delayed"): 4, ("critical", "low_stock"): 30, ("warning", "low_stock"): 40}
+    assert groups_of_page(counts, 25, 25) == ([("critical", "low_stock"), ("critical", "shipment_delayed"), ("warning", "low_stock")], 0)
+    assert groups_of_page(counts, 34, 25) == ([("warning", "low_stock")], 34)
+    assert groups_of_page(counts, 75, 25) == ([("info", "missing_info")], 74)
+    assert groups_of_page({}, 0, 25) == ([], 0)
+
+
+def test_counts_of_alerts_make_no_texts(spark):
+    plan = supply.queries()["alert_counts"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Data issue" not in plan and "Out of stock" not in plan and "SortMergeJoin" not in plan
+
+
 def test_lanes_without_peers_are_not_joined(spark):
     from quaywork.operators.shipments import cost_statistics
 
