@@ -1,7 +1,8 @@
 """A training-data pipeline over ``documents``: language ID, near-duplicate removal, mixing, BPE encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on every row that the one before kept; the result is written as Parquet
-and read again as the next stage's ``docs``. All stages but the last return the columns of documents.
+and read again as the next stage's ``docs``. All stages but the last return the columns of documents. Stages that hand
+texts to Python write their result themselves, for only while ``materialise`` writes are the batches of texts kept small.
 
 Nulls, ties and odd rows: documents whose text is null, empty or without letters go in the first stage. Rows that repeat a
 doc_id stay or go together, equal texts under different doc_ids leave the smallest; a null doc_id is never a copy. A null
@@ -31,7 +32,7 @@ SOURCE_WEIGHTS, SHARE = [5, 2, 1], 1.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that no learned language's character model accepts, and those without letters."""
-    return identify(docs, train(docs), tuple(COLUMNS)).where("not rejected").select(COLUMNS)
+    return materialise(identify(docs, train(docs), tuple(COLUMNS)).where("not rejected").select(COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,20 +52,24 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and ids, the BPE encoding of each whole text."""
     coded = bpe_encode(docs, public_tokenizers.path("word_bpe_49k.json"), ("doc_id", "lang", "source"))
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return materialise(coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids"))
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("mixing", mixing), ("bpe", bpe)]
+#: Stages whose result is a scratch table already.
+WRITTEN = (language_id, bpe)
 
 #: Character models and BPE can't be said in SQL; tests/llm/test_pipeline.py holds every stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages over the table documents; what a stage wrote on its way goes when its result is written."""
+    """The result of all stages over the table documents, as a scratch table; what else they wrote goes when a result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = written_tables()
-    for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if stage not in WRITTEN:
+            docs = materialise(docs)
         remove_tables(spark, [t for t in written_tables()[:-1] if t not in before])
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs

@@ -34,7 +34,9 @@ from ._text import give_back, slices, words
 #: Entries of the word memo of a task, and of the memo of compatible pairs; each is emptied when full. The lean ones are for
 #: encoding beside other stages' memory.
 MEMO_WORDS, MEMO_PAIRS = 500_000, 1_000_000
-LEAN_WORDS, LEAN_PAIRS = 200_000, 250_000
+LEAN_WORDS, LEAN_PAIRS = 100_000, 250_000
+#: Bytes of the texts that are then encoded together (a longer text: alone).
+LEAN_SLICE = 1 << 19
 
 #: What the vocabulary file's splitting pattern calls white space.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -253,7 +255,7 @@ def bpe_encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(SparkFiles.get(name), True)
         for batch in batches:
-            for part in slices(batch, most=2 << 20):
+            for part in slices(batch, most=LEAN_SLICE):
                 raw = list(bpe.encode_column(part.column("text")))
                 ends = np.cumsum([0, *[len(r) // 4 for r in raw]]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(raw), dtype="<i4"))

@@ -83,6 +83,26 @@ def test_whole_run_is_its_stages_one_after_another(spark, tmp_path):
     assert Counter(r.doc_id for r in out) == Counter({i: n for i, n in want.items() if n})
 
 
+def test_stages_hand_python_small_batches_of_texts(spark, tmp_path, monkeypatch):
+    def texts_of(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            size = batch.column("text").nbytes
+            yield pa.RecordBatch.from_pydict({"doc_id": [size], "text": [""], "lang": [""], "source": [""], "n_chars": [size], "rejected": [False], "ids": pa.array([[]], pa.list_(pa.int32()))})
+
+    told = lambda docs, *_: docs.select(cp.COLUMNS).mapInArrow(texts_of, KIND + ", rejected boolean, ids array<int>")
+    monkeypatch.setattr(cp, "train", lambda docs: None)
+    monkeypatch.setattr(cp, "identify", told)
+    monkeypatch.setattr(cp, "bpe_encode", told)
+    path = str(tmp_path / "large.parquet")
+    spark.createDataFrame([(i, "word " * 20_000, "x", "s", 0) for i in range(120)], KIND).coalesce(1).write.parquet(path)
+    for stage in (cp.language_id, cp.bpe):
+        stage(spark, spark.read.parquet(path), "").write.parquet(out := str(tmp_path / stage.__name__))  # as the driver writes it
+        sizes = [r.doc_id for r in spark.read.parquet(out).collect()]
+        assert sum(sizes) > 11_000_000 and max(sizes) < 3 << 20
+
+
 def plain_mix(rows, labels):
     """Copies of each document: whole epochs, then by exponential keys scaled with the label's weight."""
     by_source, out = defaultdict(list), {}
